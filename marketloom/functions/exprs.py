@@ -45,3 +45,7 @@ def with_one_row(df: DataFrame, stats: DataFrame, name: str) -> DataFrame:
     the outer plan, so no join and no shuffle of ``df`` takes place.
     """
     return df.withColumn(name, stats.select(F.struct("*").alias(name)).scalar())
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))

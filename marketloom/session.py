@@ -11,6 +11,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
         SparkSession.builder.master(master)
         .appName("marketloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
