@@ -147,9 +147,9 @@ def _coefficients(c):
 
 query("m10_adstock", "channel:s day:t spend:d2 adstock:d4", _MMM + "SELECT * FROM mmm")(
     lambda c: ops.adstock(days(c), ["channel"], "day", "spend", 0.5))
-query("m11_saturation", "channel:s spend_date:t response:d6",
-      "SELECT channel, spend_date, CAST(spend_amount AS DOUBLE) / (CAST(spend_amount AS DOUBLE) + 1000) AS response FROM spend")(
-    lambda c: c.spend.select("channel", "spend_date", ops.saturation(F.col("spend_amount").cast("double")).alias("response")))
+query("m11_saturation", "category_name:s day:t response:d6",
+      "SELECT category_name, order_date AS day, CAST(SUM(line_total) AS DOUBLE) / (CAST(SUM(line_total) AS DOUBLE) + 1000000) AS response FROM itm JOIN vord USING (order_id) JOIN prod USING (product_id) GROUP BY 1, 2")(
+    lambda c: category_days(c).select("category_name", "day", ops.saturation(F.col("revenue").cast("double"), 1e6).alias("response")))
 query("m12_media_mix_data", "channel:s day:t sales:d2 spend:d2 adstock:d4 saturated:d6", _MMM + "SELECT * FROM mmm")(
     lambda c: ops.media_mix_data(days(c)))
 for _model in ("linear", "ridge", "gradient_boosting"):
