@@ -59,6 +59,7 @@ CTES: dict[str, str] = {
         DATE '2001-08-01' - CAST(d.doc_id % 365 AS INT) AS review_date,
         CASE WHEN l.quality = 1 THEN 5 ELSE 2 END AS rating
         FROM documents d JOIN labels l USING (doc_id)""",
+    "raw": _select(m.RAW_ORDER_COLUMNS, "orders") + " UNION ALL " + _select(m.RAW_ORDER_COLUMNS, "orders WHERE o_orderkey % 50 = 0"),
     "vord": "SELECT * FROM ord WHERE order_status IN ('Delivered', 'Shipped', 'Processing', 'Returned')",
 }
 

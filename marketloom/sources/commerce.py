@@ -309,6 +309,12 @@ class Commerce:
             F.expr("CASE WHEN customer_id % 3 = 0 THEN customer_id % 5 + 1 END").alias("campaign_id"),
         )
 
+    @cached_property
+    def raw_orders(self) -> DataFrame:
+        """The text export of orders, every 50th line twice."""
+        lines = _project(self.raw("orders"), RAW_ORDER_COLUMNS)
+        return lines.unionByName(lines.filter("CAST(order_id AS BIGINT) % 50 = 0"))
+
     @cached_property
     def reviews(self) -> DataFrame:
         n_part = self.raw("part").agg(F.count(F.lit(1))).scalar()
@@ -321,3 +327,15 @@ class Commerce:
             F.date_sub(F.lit(AS_OF), (F.col("doc_id") % 365).cast("int")).alias("review_date"),
             F.when(F.col("quality") == 1, 5).otherwise(2).alias("rating"),
         )
+
+
+#: Orders as they might arrive from a text export: everything a string, some of it wrong.
+RAW_ORDER_COLUMNS = {
+    "order_id": "CAST(o_orderkey AS VARCHAR(20))",
+    "customer_id": "CASE WHEN o_orderkey % 97 = 0 THEN 'abc' ELSE CAST(o_custkey AS VARCHAR(20)) END",
+    "order_date": "CASE WHEN o_orderkey % 53 = 0 THEN 'not a date' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) END",
+    "order_status": f"CASE WHEN o_orderkey % 31 = 0 THEN ' nan ' WHEN o_orderkey % 29 = 0 THEN '' ELSE '  ' || {_STATUS} || ' ' END",
+    "order_total": f"CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_orderkey % 43 = 0 THEN 'n/a' WHEN o_orderkey % 101 = 0 THEN '9999999.00' ELSE CAST({_TOTAL} AS VARCHAR(20)) END",
+    "shipping_cost": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(49 + o_orderkey % 10 AS VARCHAR(20)) END",
+    "email": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'c' || CAST(o_custkey AS VARCHAR(20)) || '@example.org' END",
+}
