@@ -1,4 +1,4 @@
 """Imports every plan module so that all queries are registered."""
 
-from marketloom.plans import customers, marketing, operations, products, quality, sales  # noqa: F401
+from marketloom.plans import customers, marketing, operations, products, quality, sales, series  # noqa: F401
 from marketloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -68,6 +68,8 @@ def with_tables(body: str) -> str:
     """Prepend the commerce tables to a query, which may open with its own WITH."""
     body = body.strip()
     ctes = ",\n".join(f"{name} AS ({sql})" for name, sql in CTES.items())
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
