@@ -127,18 +127,18 @@ def quantiles(
     """
     keys = list(keys)
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.cast("long").alias("_w"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.cast("long").alias("__w"))
     ordered = running_totals(
-        counts, [F.col(value)], keys=keys, sums={"_hi": "_w"}, totals={"_total": "_w"}, rank=None
+        counts, [F.col(value)], keys=keys, sums={"__hi": "__w"}, totals={"__total": "__w"}, rank=None
     )
-    ordered = ordered.withColumn("_lo", F.col("_hi") - F.col("_w"))
+    ordered = ordered.withColumn("__lo", F.col("__hi") - F.col("__w"))
     v = F.col(value).cast("double")
     wanted = []
     for name, p in probs.items():
-        position = F.lit(float(p)) * (F.col("_total") - 1)
+        position = F.lit(float(p)) * (F.col("__total") - 1)
         low = F.floor(position)
         high = F.ceil(position)
-        covers = lambda at: (F.col("_lo") <= at) & (at < F.col("_hi"))
+        covers = lambda at: (F.col("__lo") <= at) & (at < F.col("__hi"))
         wanted += [
             F.max(F.when(covers(low), v)).alias(f"_a_{name}"),
             F.max(F.when(covers(high), v)).alias(f"_b_{name}"),
