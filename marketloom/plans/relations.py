@@ -134,22 +134,22 @@ query("g2_degree_centrality", "product_id:i degree:i degree_centrality:d6", _ED
 
 def _brand_edges(c):
     """Customers linked to the brand and category pairs they bought."""
-    bought = c.order_items.select("order_id", "product_id").join(c.orders.filter("order_date >= DATE '2001-03-01'").select("order_id", "customer_id"), "order_id")
+    bought = c.order_items.select("order_id", "product_id").join(c.orders.select("order_id", "customer_id"), "order_id")
     return bought.join(c.products.select("product_id", F.concat_ws("/", "category_name", "brand_name").alias("kind")), "product_id").select("customer_id", "kind").distinct()
 
 
 query("g3_communities", "community_id:i node:i community_size:i",
-      """WITH RECURSIVE be AS (SELECT DISTINCT customer_id, category_name || '/' || brand_name AS kind FROM itm JOIN ord USING (order_id) JOIN prod USING (product_id) WHERE order_date >= DATE '2001-03-01'), bd AS (SELECT customer_id, COUNT(*) n FROM be GROUP BY 1),
+      """WITH RECURSIVE be AS (SELECT DISTINCT customer_id, category_name || '/' || brand_name AS kind FROM itm JOIN ord USING (order_id) JOIN prod USING (product_id)), bd AS (SELECT customer_id, COUNT(*) n FROM be GROUP BY 1),
 pr AS (SELECT x.customer_id a, y.customer_id b, COUNT(*) s FROM be x JOIN be y ON x.kind = y.kind AND x.customer_id <> y.customer_id GROUP BY 1, 2), jp AS (SELECT a, b FROM pr JOIN bd p ON p.customer_id = a JOIN bd q ON q.customer_id = b WHERE s / (p.n + q.n - s) > 0.3),
 wa AS (SELECT customer_id AS node, customer_id AS seen FROM bd UNION SELECT wa.node, jp.b FROM wa JOIN jp ON jp.a = wa.seen), lb AS (SELECT node, MIN(seen) AS community_id FROM wa GROUP BY 1)
 SELECT *, COUNT(*) OVER (PARTITION BY community_id) AS community_size FROM lb QUALIFY community_size >= 5""")(lambda c: graph.communities(_brand_edges(c), "customer_id", "kind", 0.3, 5))
 query("g4_shortest_paths", "node:s distance:i previous:s",
-      """WITH RECURSIVE lk AS (SELECT DISTINCT 'c' || customer_id AS x, 'p' || product_id AS y FROM itm JOIN ord USING (order_id) WHERE order_date >= DATE '2001-06-01'), l2 AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk),
+      """WITH RECURSIVE lk AS (SELECT DISTINCT 'c' || customer_id AS x, 'p' || product_id AS y FROM itm JOIN ord USING (order_id)), l2 AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk),
 s0 AS (SELECT 'c1' AS node, 0 AS distance, CAST(NULL AS VARCHAR) AS previous), s1 AS (SELECT y AS node, 1 AS distance, MIN(x) AS previous FROM s0 JOIN l2 ON x = node WHERE y NOT IN (SELECT node FROM s0) GROUP BY 1), r1 AS (FROM s0 UNION ALL FROM s1),
 s2 AS (SELECT y AS node, 2 AS distance, MIN(x) AS previous FROM s1 JOIN l2 ON x = node WHERE y NOT IN (SELECT node FROM r1) GROUP BY 1), r2 AS (FROM r1 UNION ALL FROM s2),
 s3 AS (SELECT y AS node, 3 AS distance, MIN(x) AS previous FROM s2 JOIN l2 ON x = node WHERE y NOT IN (SELECT node FROM r2) GROUP BY 1), r3 AS (FROM r2 UNION ALL FROM s3),
 s4 AS (SELECT y AS node, 4 AS distance, MIN(x) AS previous FROM s3 JOIN l2 ON x = node WHERE y NOT IN (SELECT node FROM r3) GROUP BY 1) FROM r3 UNION ALL FROM s4""".replace("FROM r3 UNION ALL FROM s4", "SELECT * FROM r3 UNION ALL SELECT * FROM s4"))(
-    lambda c: graph.shortest_paths(graph.bipartite_edges(c.orders.filter("order_date >= DATE '2001-06-01'"), c.order_items), 1, 5))
+    lambda c: graph.shortest_paths(edges(c), 1, 5))
 query("g5_co_buyer_recommendations", _REC_SPEC,
       _ED + """nr AS (SELECT DISTINCT x.customer_id, y.customer_id AS other FROM ed x JOIN ed y ON x.product_id = y.product_id AND x.customer_id <> y.customer_id), sc AS (SELECT nr.customer_id, ed.product_id, COUNT(*) AS score FROM nr JOIN ed ON ed.customer_id = nr.other GROUP BY 1, 2)
 SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY score DESC, product_id) AS rank FROM sc ANTI JOIN ed USING (customer_id, product_id) QUALIFY rank <= 10""")(lambda c: graph.co_buyer_recommendations(edges(c)))
