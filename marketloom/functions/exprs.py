@@ -49,3 +49,14 @@ def with_one_row(df: DataFrame, stats: DataFrame, name: str) -> DataFrame:
 
 def n_rows() -> Column:
     return F.count(F.lit(1))
+
+
+def with_lookup(df: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:
+    """Attach the row of a bounded table (features, tests, segments) as a struct column.
+
+    The table becomes one map constant through a scalar subquery, so a key with
+    few values never shuffles the rows of ``df``.
+    """
+    values = F.struct(*[c for c in table.columns if c != key])
+    lookup = table.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), values)))).scalar()
+    return df.withColumn("_lookup", lookup).withColumn(name, F.col("_lookup")[F.col(key)]).drop("_lookup")

@@ -46,45 +46,40 @@ def running_totals(
     group size.
     """
     sums, carry, totals = sums or {}, carry or {}, totals or {}
-    keys = list(keys)
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     sort = [F.col(k) for k in keys] + order
     ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
     ranged = materialize(ranged.withColumn("_pos", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_range", F.shiftright("_pos", _LOCAL_BITS))
+    # one struct key: equal even where a key is null, and one partitioning serves window and join
+    group = F.struct(*keys) if keys else F.lit(0)
+    ranged = ranged.withColumn("_range", F.shiftright("_pos", _LOCAL_BITS)).withColumn("_key", group)
 
     partial = [F.count(F.lit(1)).alias("_n")]
     partial += [F.sum(src).alias(f"_s_{out}") for out, src in sums.items()]
     partial += [F.sum(src).alias(f"_t_{out}") for out, src in totals.items()]
     partial += [F.max_by(F.struct(F.col(src).alias("v")), "_pos").alias(f"_c_{out}") for out, src in carry.items()]
-    per_range = ranged.groupBy("_range", *keys).agg(*partial)
+    per_range = ranged.groupBy("_range", "_key").agg(*partial)
     # At most one row per key and range: the number of ranges bounds each window.
-    before = W.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("_range")
+    before = W.partitionBy("_key").orderBy("_range")
     prior = before.rowsBetween(W.unboundedPreceding, -1)
     whole = before.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = per_range.select(
-        F.col("_range").alias("_range_o"),
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        "_range", "_key",
         F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_n0"),
         F.sum("_n").over(whole).alias("_nall"),
         *[F.sum(f"_s_{o}").over(prior).alias(f"_s0_{o}") for o in sums],
         *[F.sum(f"_t_{o}").over(whole).alias(f"_tall_{o}") for o in totals],
         *[F.lag(f"_c_{o}").over(before).alias(f"_c0_{o}") for o in carry],
     )
-    on = [F.col("_range") == F.col("_range_o")]
-    on += [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    condition = on[0]
-    for extra in on[1:]:
-        condition = condition & extra
 
-    local = W.partitionBy("_range", *keys).orderBy("_pos")
+    local = W.partitionBy("_range", "_key").orderBy("_pos")
     upto = local.rowsBetween(W.unboundedPreceding, W.currentRow)
     cols: list[Column] = []
     if rank:
         cols.append(F.row_number().over(local).cast("long").alias("_rn"))
     cols += [F.sum(src).over(upto).alias(f"_sl_{out}") for out, src in sums.items()]
     cols += [F.lag(F.struct(F.col(src).alias("v"))).over(local).alias(f"_cl_{out}") for out, src in carry.items()]
-    joined = ranged.select("*", *cols).join(offsets, condition)
+    joined = ranged.select("*", *cols).join(offsets, ["_range", "_key"])
     out = [c for c in df.columns]
     result: list[Column] = [F.col(c) for c in out]
     if rank:
@@ -101,7 +96,6 @@ def running_totals(
 
 def tile(rank: Column, n: Column, k: int) -> Column:
     """The NTILE(k) bucket of row ``rank`` among ``n`` rows (longer buckets first)."""
-    base, extra = F.expr("1"), None
     base = F.floor(n / k).cast("long")
     extra = (n % k).cast("long")
     split = extra * (base + 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.exprs import n_rows, or_zero
-from marketloom.functions.ordered import materialize
+from marketloom.functions.ordered import materialize, running_totals
 from marketloom.operators.recommend import pairs_within, top_n
 
 
@@ -45,11 +45,8 @@ def similar_pairs(edges: DataFrame, node: str, other: str, threshold: float) ->
     rarity = _degrees(edges, other).withColumnRenamed("degree", "_freq")
     sizes = _degrees(edges, node).withColumnRenamed("degree", "_size")
     tagged = edges.join(rarity, other).join(sizes, node)
-    # position in order of rarity, by counting the rarer neighbours of the same node
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy(node).orderBy("_freq", other))
-    prefix = tagged.withColumn("_pos", place).filter(F.col("_pos") <= F.col("_size") - F.ceil(F.lit(threshold) * F.col("_size")) + 1)
+    placed = running_totals(tagged, [F.col("_freq"), F.col(other)], keys=[node], rank="_place")
+    prefix = placed.filter(F.col("_place") <= F.col("_size") - F.ceil(F.lit(threshold) * F.col("_size")) + 1)
     proposed = pairs_within(prefix.select(other, node), other, node).select("a", "b").distinct()
     left = proposed.join(edges.select(F.col(node).alias("a"), other), "a")
     shared = left.join(edges.select(F.col(node).alias("b"), other), ["b", other]).groupBy("a", "b").agg(n_rows().alias("shared"))

@@ -204,10 +204,10 @@ def confusion_metrics(c: DataFrame) -> DataFrame:
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve from rank sums; ties count half."""
-    counts = df.groupBy(score).agg(n_rows().alias("n"), F.sum((F.col(label) == 1).cast("long")).alias("p"))
-    run = running_totals(counts, [F.col(score)], sums={"hi": "n"}, totals={"np": "p", "nn": "n"}, rank=None)
-    rank = F.col("hi") - (F.col("n") - 1) / 2
-    agg = run.agg(F.sum(F.col("p") * rank).alias("r"), F.max("np").alias("np"), F.max("nn").alias("nn"))
+    counts = df.groupBy(F.col(score).alias("_score")).agg(n_rows().alias("_rows"), F.sum((F.col(label) == 1).cast("long")).alias("_hits"))
+    run = running_totals(counts, [F.col("_score")], sums={"_hi": "_rows"}, totals={"np": "_hits", "nn": "_rows"}, rank=None)
+    rank = F.col("_hi") - (F.col("_rows") - 1) / 2
+    agg = run.agg(F.sum(F.col("_hits") * rank).alias("r"), F.max("np").alias("np"), F.max("nn").alias("nn"))
     p, n = F.col("np"), F.col("nn") - F.col("np")
     return agg.select(F.try_divide(F.col("r") - p * (p + 1) / 2, (p * n).cast("double")).alias("auc_roc"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.exprs import n_rows, or_zero
 from marketloom.functions.ml import fit_cached
+from marketloom.functions.ordered import running_totals
 
 SCORE_DIGITS = 9  # scores are compared at this precision, so equal scores tie
 
@@ -105,8 +106,7 @@ def content_based(matrix: DataFrame, products: DataFrame, n: int = 5) -> DataFra
     upto = F.sum("unseen").over(mine.orderBy(F.col("score").desc()).rangeBetween(W.unboundedPreceding, W.currentRow))
     peers = F.sum("unseen").over(W.partitionBy("customer_id", "score"))
     opened = cells.withColumn("better", upto - peers).filter((F.col("better") < n) & (F.col("unseen") > 0) & (F.col("score") > 0))
-    in_cell = F.row_number().over(W.partitionBy("category_name", "brand_name").orderBy("product_id"))
-    ranked = kinds.withColumn("_i", in_cell)
+    ranked = running_totals(kinds, [F.col("product_id")], keys=["category_name", "brand_name"], rank="_i")
     candidates = opened.join(ranked, ["category_name", "brand_name"]).filter(F.col("_i") <= F.col("owned") + n)
     unseen = candidates.select("customer_id", "product_id", "score").join(matrix.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
     return top_n(unseen, n)
@@ -226,7 +226,7 @@ def category_or_popular(customers: DataFrame, matrix: DataFrame, products: DataF
     favourite = lines.join(kinds, "product_id").groupBy("customer_id", "category_name").agg(n_rows().alias("n")).groupBy("customer_id").agg(
         F.max_by("category_name", F.struct(F.col("n"), F.col("category_name"))).alias("category_name"))
     owned = matrix.select("customer_id", "product_id").join(kinds, "product_id").groupBy("customer_id", "category_name").agg(n_rows().alias("owned"))
-    ranked = kinds.withColumn("_i", F.row_number().over(W.partitionBy("category_name").orderBy("product_id")))
+    ranked = running_totals(kinds, [F.col("product_id")], keys=["category_name"], rank="_i")
     # the first n unseen products lie among the first owned + n of the category
     wanted = favourite.join(owned, ["customer_id", "category_name"], "left")
     candidates = wanted.join(ranked, "category_name").filter(F.col("_i") <= or_zero("owned") + n)

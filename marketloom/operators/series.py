@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions.dist import t_two_sided
-from marketloom.functions.exprs import n_rows, or_zero, with_one_row
+from marketloom.functions.exprs import n_rows, or_zero, with_lookup, with_one_row
 from marketloom.functions.ordered import quantiles, running_totals
 from marketloom.operators.quality import unpivot_numbers
 
@@ -177,12 +177,12 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: in
     """
     n = max(df.count(), 1)
     numbers = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    share = min(1.0, 4.0 * sample * trees / n)
-    ranked = numbers.filter(F.pmod(F.xxhash64(F.lit(7), key), F.lit(1_000_000)) < int(share * 1_000_000))
-    # a tree takes the rows whose hash falls to it, at most `sample` of them
-    bucket = ranked.withColumn("_tree", F.pmod(F.xxhash64(F.lit(11), key), F.lit(trees)))
-    order = F.row_number().over(W.partitionBy("_tree").orderBy(F.xxhash64(F.lit(13), key), key))
-    sampled = bucket.withColumn("_k", order).filter(F.col("_k") <= sample)
+    # every tree draws its own rows by hash, about twice the sample, and keeps `sample` of them
+    draws, share = 1 << 40, min(1.0, 2.0 * sample / n)
+    drawn = lambda t: F.pmod(F.xxhash64(t, key), F.lit(draws)) < int(share * draws)
+    members = numbers.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), drawn)).alias("_tree"))
+    order = F.row_number().over(W.partitionBy("_tree").orderBy(F.xxhash64(F.lit(13), "_tree", key), key))
+    sampled = members.withColumn("_k", order).filter(F.col("_k") <= sample)
     cols = list(features)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -385,10 +385,11 @@ def psi(baseline: DataFrame, current: DataFrame, features: Sequence[str], period
 
     def binned(df: DataFrame, *keys: str) -> DataFrame:
         # the last bin includes its upper edge; values outside fall in no bin
-        width = (F.col("hi") - F.col("lo")) / bins
-        b = F.when(F.col("value") == F.col("hi"), F.lit(bins - 1)).otherwise(F.floor(F.try_divide(F.col("value") - F.col("lo"), width)).cast("int"))
-        inside = F.col("value").between(F.col("lo"), F.col("hi"))
-        return df.join(edges, "feature").filter(inside).groupBy(*keys, "feature", b.alias("bin")).agg(n_rows().alias("n"))
+        lo, hi = F.col("_e.lo"), F.col("_e.hi")
+        width = (hi - lo) / bins
+        b = F.when(F.col("value") == hi, F.lit(bins - 1)).otherwise(F.floor(F.try_divide(F.col("value") - lo, width)).cast("int"))
+        inside = F.col("value").between(lo, hi)
+        return with_lookup(df, edges, "feature", "_e").filter(inside).groupBy(*keys, "feature", b.alias("bin")).agg(n_rows().alias("n"))
 
     grid = edges.select("feature", "nb", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     expected = grid.join(binned(base), ["feature", "bin"], "left").select("feature", "bin", F.greatest(or_zero("n") / F.col("nb"), F.lit(1e-4)).alias("b"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketloom.functions.exprs import days_between, n_rows, or_zero
+from marketloom.functions.exprs import days_between, n_rows, or_zero, with_lookup
 from marketloom.functions.ordered import ntile_by, quantiles
 from marketloom.operators.quality import unpivot_numbers
 
@@ -55,8 +55,8 @@ def hazard_ratios(df: DataFrame, covariates: Sequence[str]) -> DataFrame:
     """Event-rate ratio above against below the median of each covariate."""
     long = unpivot_numbers(df, covariates, ["time", "event"]).filter(F.col("value").isNotNull())
     med = quantiles(long, "value", {"median": 0.5}, keys=["feature"])
-    high = F.col("value") >= F.col("median")
-    agg = long.join(med, "feature").groupBy("feature").agg(
+    high = F.col("value") >= F.col("_m.median")
+    agg = with_lookup(long, med, "feature", "_m").groupBy("feature").agg(
         F.sum(F.when(high, F.col("event"))).alias("e1"), F.sum(F.when(high, F.col("time"))).alias("t1"), F.sum(F.when(~high, F.col("event"))).alias("e0"), F.sum(F.when(~high, F.col("time"))).alias("t0"))
     rate = lambda i: F.try_divide(or_zero(f"e{i}").cast("double"), or_zero(f"t{i}").cast("double"))
     return agg.select("feature", F.coalesce(F.try_divide(rate(1), rate(0)), F.lit(1.0)).alias("hazard_ratio"))

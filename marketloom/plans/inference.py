@@ -4,6 +4,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
+from marketloom.functions.exprs import with_lookup
 from marketloom.operators import causal, stats, survival
 from marketloom.plans.registry import query
 from marketloom.sources.commerce import AS_OF
@@ -69,7 +70,8 @@ def _analyze(c):
 
     d = stats.describe(c.order_items, _N)
     fences = d.select("feature", (F.col("q25") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q75") + 1.5 * F.col("iqr")).alias("hi"))
-    out = unpivot_numbers(c.order_items, _N).join(fences, "feature").groupBy("feature").agg(F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("outliers"))
+    long = with_lookup(unpivot_numbers(c.order_items, _N), fences, "feature", "f")
+    out = long.groupBy("feature").agg(F.count_if((F.col("value") < F.col("f.lo")) | (F.col("value") > F.col("f.hi"))).alias("outliers"))
     return d.join(out, "feature")
 
 

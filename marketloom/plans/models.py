@@ -86,8 +86,8 @@ def _learned(c):
 
 query("l14_predict_value_model", "customer_id:i predicted_clv:d2")(_learned)
 query("l15_compare_approaches", "customer_id:i probabilistic_clv:d2 ml_clv:d2 historical_clv:d2 probabilistic_vs_historical:d4 ml_vs_historical:d4 ml_vs_probabilistic:d4 approach_agreement:i",
-      _TX + """, h AS (SELECT customer_id, CAST(SUM(order_total) AS DOUBLE) t FROM vord WHERE order_date <= DATE '2000-08-01' GROUP BY 1), m AS (SELECT customer_id, CAST(SUM(order_total) AS DOUBLE) m FROM vord WHERE order_date > DATE '2000-08-01' GROUP BY 1)
-SELECT customer_id, clv AS probabilistic_clv, m AS ml_clv, t AS historical_clv, clv / t AS probabilistic_vs_historical, m / t AS ml_vs_historical, m / NULLIF(clv, 0) AS ml_vs_probabilistic, CASE WHEN (clv > t) = (m > t) THEN 1 ELSE 0 END AS approach_agreement FROM cv JOIN h USING (customer_id) JOIN m USING (customer_id)""")(
+      _TX + """, h AS (SELECT customer_id, CAST(SUM(order_total) AS DOUBLE) hv FROM vord WHERE order_date <= DATE '2000-08-01' GROUP BY 1), m AS (SELECT customer_id, CAST(SUM(order_total) AS DOUBLE) m FROM vord WHERE order_date > DATE '2000-08-01' GROUP BY 1)
+SELECT customer_id, clv AS probabilistic_clv, m AS ml_clv, hv AS historical_clv, clv / hv AS probabilistic_vs_historical, m / hv AS ml_vs_historical, m / NULLIF(clv, 0) AS ml_vs_probabilistic, CASE WHEN (clv > hv) = (m > hv) THEN 1 ELSE 0 END AS approach_agreement FROM cv JOIN h USING (customer_id) JOIN m USING (customer_id)""")(
     lambda c: clv.compare_approaches(
         clv.predict_value(summary(c), BUY, PAY, 90).select("customer_id", F.col("clv").alias("value")),
         c.valid_orders.filter("order_date > DATE '2000-08-01'").groupBy("customer_id").agg(F.sum("order_total").cast("double").alias("value")),

@@ -113,7 +113,7 @@ def kpi_history(c):
 
 _KH = """WITH mo AS (SELECT date_trunc('month', order_date) AS period, CAST(SUM(CASE WHEN order_status <> 'Cancelled' THEN order_total ELSE 0 END) AS DOUBLE) AS rev, COUNT(*) AS n FROM ord GROUP BY 1), mu AS (SELECT date_trunc('month', order_date) AS period, SUM(quantity) u FROM ord JOIN itm USING (order_id) GROUP BY 1),
 kh AS (SELECT 'total_revenue_inr' AS kpi, period, rev AS value FROM mo UNION ALL SELECT 'orders', period, n FROM mo UNION ALL SELECT 'aov_inr', period, rev / n FROM mo UNION ALL SELECT 'units_sold', period, u FROM mu),
-tg AS (SELECT kpi AS metric, max_by(value, period) AS current_value, AVG(value) AS target FROM kh WHERE period < DATE '2001-08-01' GROUP BY 1), op AS (SELECT *, target - current_value AS gap, (target - current_value) / target * 100 AS gap_percentage FROM tg WHERE target > current_value)
+tg AS (SELECT kpi AS metric, max_by(value, period) AS current_value, AVG(value) * 1.1 AS target FROM kh WHERE period < DATE '2001-08-01' GROUP BY 1), op AS (SELECT *, target - current_value AS gap, (target - current_value) / target * 100 AS gap_percentage FROM tg WHERE target > current_value)
 """
 query("d13_kpi_trend", "kpi:s trend:s slope:d4 growth_rate:d6 volatility:d4 current_value:d2 forecast:d2 n_periods:i",
       _KH + ", r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY kpi ORDER BY period DESC) k FROM kh), t AS (SELECT kpi, REGR_SLOPE(value, -k) AS slope, min_by(value, period) f, max_by(value, period) AS current_value, STDDEV_POP(value) AS volatility, COUNT(*) AS n_periods FROM r WHERE k <= 7 GROUP BY 1) "
@@ -133,8 +133,8 @@ query("d14_assess_risk", "entity:s factor:s value:d6 threshold:d2 risk_score:d6
 
 
 def kpi_targets(c):
-    """The last full month against the mean of all full months."""
-    return kpi_history(c).filter(F.col("period") < "2001-08-01").groupBy(F.col("kpi").alias("metric")).agg(F.max_by("value", "period").alias("current_value"), F.avg("value").alias("target"))
+    """The last full month against a tenth more than the mean of all full months."""
+    return kpi_history(c).filter(F.col("period") < "2001-08-01").groupBy(F.col("kpi").alias("metric")).agg(F.max_by("value", "period").alias("current_value"), (F.avg("value") * 1.1).alias("target"))
 
 
 query("d15_opportunities", "metric:s current_value:d2 target:d2 gap:d2 gap_percentage:d4 priority:s potential_impact:s", _KH + "SELECT *, CASE WHEN gap_percentage > 20 THEN 'high' WHEN gap_percentage > 10 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN gap_percentage > 20 THEN 'high' ELSE 'medium' END AS potential_impact FROM op")(
