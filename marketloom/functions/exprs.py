@@ -60,3 +60,13 @@ def with_lookup(df: DataFrame, table: DataFrame, key: str, name: str) -> DataFra
     values = F.struct(*[c for c in table.columns if c != key])
     lookup = table.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), values)))).scalar()
     return df.withColumn("_lookup", lookup).withColumn(name, F.col("_lookup")[F.col(key)]).drop("_lookup")
+
+
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over the pairs without nulls; null where a side does not vary.
+
+    The built-in aggregate raises a division error for a constant side.
+    """
+    a, b = col(x).cast("double"), col(y).cast("double")
+    pair = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(pair, a)) * F.stddev_pop(F.when(pair, b)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.dist import normal_two_sided, t_two_sided
-from marketloom.functions.exprs import n_rows, or_zero, with_one_row
+from marketloom.functions.exprs import correlation, n_rows, or_zero, with_one_row
 from marketloom.functions.ml import fit_cached
 from marketloom.functions.ordered import quantiles, running_totals
 
@@ -148,7 +148,7 @@ def _pearson_p(r: str, n: str) -> Column:
 def validate_instrument(df: DataFrame, instrument: str, treatment: str, outcome: str) -> DataFrame:
     """Relevance, first-stage strength and exclusion correlation of an instrument."""
     z, t, y = (F.col(c).cast("double") for c in (instrument, treatment, outcome))
-    out = df.agg(F.corr(z, t).alias("relevance_correlation"), F.regr_r2(t, z).alias("first_stage_r_squared"), F.corr(z, y).alias("exclusion_correlation"), F.regr_count(t, z).alias("n"))
+    out = df.agg(correlation(z, t).alias("relevance_correlation"), F.regr_r2(t, z).alias("first_stage_r_squared"), correlation(z, y).alias("exclusion_correlation"), F.regr_count(t, z).alias("n"))
     r2 = F.col("first_stage_r_squared")
     out = out.withColumn("first_stage_f_statistic", F.try_divide(r2, 1 - r2) * (F.col("n") - 2)).withColumn("instrument_strong", F.col("first_stage_f_statistic") > 10)
     return out.withColumn("relevance_p_value", _pearson_p("relevance_correlation", "n")).withColumn("exclusion_p_value", _pearson_p("exclusion_correlation", "n"))
@@ -157,7 +157,7 @@ def validate_instrument(df: DataFrame, instrument: str, treatment: str, outcome:
 def confounders(df: DataFrame, treatment: str, outcome: str, candidates: Sequence[str], limit: float = 0.1) -> DataFrame:
     """Candidates correlated with both treatment and outcome; one aggregation for all."""
     t, y = F.col(treatment).cast("double"), F.col(outcome).cast("double")
-    agg = df.agg(*[x for c in candidates for x in (F.corr(F.col(c).cast("double"), t).alias(f"t_{c}"), F.corr(F.col(c).cast("double"), y).alias(f"y_{c}"))])
+    agg = df.agg(*[x for c in candidates for x in (correlation(F.col(c).cast("double"), t).alias(f"t_{c}"), correlation(F.col(c).cast("double"), y).alias(f"y_{c}"))])
     rows = agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("confounder"), F.col(f"t_{c}").alias("correlation_with_treatment"), F.col(f"y_{c}").alias("correlation_with_outcome")) for c in candidates])).alias("r")).select("r.*")
     return rows.withColumn("is_confounder", (F.abs("correlation_with_treatment") > limit) & (F.abs("correlation_with_outcome") > limit))
 
@@ -268,7 +268,7 @@ def evaluate_uplift(df: DataFrame, uplift: str, key: str = "customer_id", treatm
         sizes = df.groupBy(*by).agg(n_rows().alias("_n")).filter(F.col("_n") >= min_rows)
         df = df.join(sizes.select(*by), list(by), "left_semi")
     per = uplift_deciles(df, uplift, treatment, outcome, by).groupBy(*by).agg(
-        or_zero(F.corr("predicted_uplift", "actual_uplift")).alias("uplift_correlation"), F.avg(F.abs(F.col("predicted_uplift") - F.col("actual_uplift"))).alias("calibration_error"), n_rows().alias("n_deciles"))
+        or_zero(correlation("predicted_uplift", "actual_uplift")).alias("uplift_correlation"), F.avg(F.abs(F.col("predicted_uplift") - F.col("actual_uplift"))).alias("calibration_error"), n_rows().alias("n_deciles"))
     curves = uplift_curves(df, uplift, key, treatment, outcome, by)
     if by:
         return per.join(curves, list(by))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketloom.functions.exprs import days_between, is_valid, n_rows, or_zero, ratio, sum_if
+from marketloom.functions.exprs import correlation, days_between, is_valid, n_rows, or_zero, ratio, sum_if
 from marketloom.functions.ordered import ntile_by, running_totals
 
 
@@ -432,11 +432,11 @@ def _owned_lines(orders: DataFrame, items: DataFrame, products: DataFrame) -> Da
 
 def price_sensitivity(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     """Share of discounted lines, average discount, price/quantity correlation."""
-    correlation = F.corr(F.col("selling_price").cast("double"), F.col("quantity").cast("double"))
+    r = correlation(F.col("selling_price").cast("double"), F.col("quantity").cast("double"))
     return _owned_lines(orders, items, products).groupBy("customer_id").agg(
         (F.count_if(F.col("discount_pct") > 0) / n_rows()).alias("discount_dependency"),
         ratio(F.sum("discount_pct"), n_rows()).alias("avg_discount_pct"),
-        F.when(n_rows() > 1, F.coalesce(F.nanvl(correlation, F.lit(0.0)), F.lit(0.0))).otherwise(0.0).alias("price_sensitivity"),
+        F.when(n_rows() > 1, F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))).otherwise(0.0).alias("price_sensitivity"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.dist import normal_cdf, t_two_sided, z_value
-from marketloom.functions.exprs import n_rows, or_zero, with_one_row
+from marketloom.functions.exprs import correlation, n_rows, or_zero, with_one_row
 from marketloom.functions.ordered import quantiles, running_totals
 
 
@@ -115,7 +115,7 @@ def _positive(df: DataFrame, price: str, quantity: str) -> DataFrame:
 
 
 def correlation_elasticity(df: DataFrame, price: str, quantity: str, by: Sequence[str] = ()) -> DataFrame:
-    out = _positive(df, price, quantity).groupBy(*by).agg(F.corr("_lp", "_lq").alias("elasticity"), n_rows().alias("n"))
+    out = _positive(df, price, quantity).groupBy(*by).agg(correlation("_lp", "_lq").alias("elasticity"), n_rows().alias("n"))
     return out.withColumn("interpretation", F.when(F.abs("elasticity") > 1, "Elastic").otherwise("Inelastic"))
 
 
@@ -126,8 +126,8 @@ def elasticity_by_quintile(df: DataFrame, price: str, quantity: str, min_rows: i
     tagged = with_one_row(clean, edges, "_e")
     p = F.col(price)
     bucket = F.when(p <= F.col("_e.e1"), "Q1").when(p <= F.col("_e.e2"), "Q2").when(p <= F.col("_e.e3"), "Q3").when(p <= F.col("_e.e4"), "Q4").otherwise("Q5")
-    per = tagged.groupBy(bucket.alias("price_quantile")).agg(F.corr("_lp", "_lq").alias("elasticity"), n_rows().alias("n")).filter(F.col("n") > min_rows)
-    whole = clean.agg(F.corr("_lp", "_lq").alias("elasticity"), n_rows().alias("n")).select(F.lit("overall").alias("price_quantile"), "elasticity", "n")
+    per = tagged.groupBy(bucket.alias("price_quantile")).agg(correlation("_lp", "_lq").alias("elasticity"), n_rows().alias("n")).filter(F.col("n") > min_rows)
+    whole = clean.agg(correlation("_lp", "_lq").alias("elasticity"), n_rows().alias("n")).select(F.lit("overall").alias("price_quantile"), "elasticity", "n")
     return whole.unionByName(per).withColumn("interpretation", F.when(F.abs("elasticity") > 1, "Elastic").otherwise("Inelastic"))
 
 
@@ -159,7 +159,7 @@ def price_experiment(df: DataFrame, price: str, quantity: str, group: str) -> Da
 
 
 def _price_stats(df: DataFrame, price: str, quantity: str, cost: str | None = None) -> DataFrame:
-    e = _positive(df, price, quantity).agg(F.corr("_lp", "_lq")).scalar()
+    e = _positive(df, price, quantity).agg(correlation("_lp", "_lq")).scalar()
     cols = [F.avg(price).alias("current_price"), F.avg(quantity).alias("current_quantity")]
     if cost:
         cols.append(F.avg(F.col(cost).cast("double")).alias("current_cost"))

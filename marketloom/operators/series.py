@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketloom.functions.calendar import fill_days
 from marketloom.functions.dist import t_two_sided
 from marketloom.functions.exprs import n_rows, or_zero, with_lookup, with_one_row
 from marketloom.functions.ordered import quantiles, running_totals
@@ -454,8 +455,7 @@ def demand_series(items: DataFrame, orders: DataFrame, products: DataFrame | Non
         lines = lines.join(products.select("product_id", by), "product_id")
     key = F.col(by).cast("string") if by else F.lit("all")
     daily = lines.groupBy(key.alias("series_id"), "day").agg(F.sum("quantity").alias("units_sold"), F.sum(F.col("quantity") * F.col("unit_price")).alias("revenue_inr"))
-    grid = daily.groupBy("series_id").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("series_id", F.explode(F.sequence("a", "b")).alias("day"))
-    return grid.join(daily, ["series_id", "day"], "left").select("series_id", "day", or_zero("units_sold").alias("units_sold"), or_zero("revenue_inr").alias("revenue_inr"))
+    return fill_days(daily, ["series_id"], "day", ["units_sold", "revenue_inr"])
 
 
 def _horizon(level: DataFrame, horizon: int, keys: Sequence[str] = ("series_id",)) -> DataFrame:

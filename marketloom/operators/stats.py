@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions.dist import chi2_upper, f_upper, normal_cdf, normal_two_sided, t_two_sided, z_value
-from marketloom.functions.exprs import n_rows, or_zero, with_one_row
+from marketloom.functions.exprs import correlation, n_rows, or_zero, with_one_row
 from marketloom.functions.ordered import quantiles, running_totals
 from marketloom.operators.quality import unpivot_numbers
 
@@ -28,7 +28,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlations in long form; all pairs come from one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
+    agg = df.agg(*[correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
     both = [(a, b, f"{a}|{b}") for a, b in pairs] + [(b, a, f"{a}|{b}") for a, b in pairs if a != b]
     return agg.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"`{k}`").alias("correlation")) for a, b, k in both])).alias("r")).select("r.*")

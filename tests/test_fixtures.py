@@ -259,3 +259,11 @@ def test_budget_fill_is_optimal(spark):
     roi = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 2.0)], "channel string, roi double")
     got = dict(rows(marketing.optimize_linear(roi, 100.0, 0.1, 0.5), "channel", "budget"))
     assert got == pytest.approx({"a": 50.0, "c": 40.0, "b": 10.0})
+
+
+def test_correlation_of_a_constant_side_is_null(spark):
+    from marketloom.functions.exprs import correlation
+
+    df = spark.createDataFrame([("flat", 1.0, 5.0), ("flat", 2.0, 5.0), ("up", 1.0, 2.0), ("up", 2.0, 4.0), ("up", None, 9.0)], "g string, a double, b double")
+    got = {r["g"]: r["c"] for r in df.groupBy("g").agg(correlation("a", "b").alias("c")).collect()}
+    assert got["flat"] is None and got["up"] == pytest.approx(1.0)
