@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions.exprs import is_valid, n_rows, or_zero, ratio
+from marketloom.functions.ml import fit_cached
 from marketloom.functions.ordered import quantiles, running_totals
 
 STAGES = ("signup", "view", "click", "purchase")
@@ -310,12 +311,13 @@ def fit_media_mix(mmm: DataFrame, channels: Sequence[str], model_type: str = "li
     )
     data = VectorAssembler(inputCols=[f"x{i}" for i in range(len(channels))], outputCol="features").transform(wide)
     held_out = F.pmod(F.xxhash64("day"), F.lit(5)) == 0
+    data = data.persist()  # one row per day
     train, test = data.filter(~held_out), data.filter(held_out)
     if model_type in ("linear", "ridge"):
-        model = LinearRegression(regParam=1.0 if model_type == "ridge" else 0.0).fit(train)
+        model = fit_cached(LinearRegression(regParam=1.0 if model_type == "ridge" else 0.0), train)
         weights = model.coefficients
     elif model_type == "gradient_boosting":
-        model = GBTRegressor(maxIter=20, seed=42).fit(train)
+        model = fit_cached(GBTRegressor(maxIter=20, seed=42), train)
         weights = model.featureImportances
     else:
         raise ValueError(f"unknown model type {model_type}")

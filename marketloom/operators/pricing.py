@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.dist import normal_cdf, t_two_sided, z_value
 from marketloom.functions.exprs import correlation, n_rows, or_zero, with_one_row
+from marketloom.functions.ml import fit_cached
 from marketloom.functions.ordered import quantiles, running_totals
 
 
@@ -93,7 +94,7 @@ def train_demand_model(sales: DataFrame, features: Sequence[str], label: str = "
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(sales.withColumn("label", F.col(label).cast("double")))
     held = F.pmod(F.xxhash64(key), F.lit(10)) >= 8
     train, test = data.filter(~held), data.filter(held)
-    model = GBTRegressor(maxIter=20, maxDepth=4, seed=42).fit(train)
+    model = fit_cached(GBTRegressor(maxIter=20, maxDepth=4, seed=42), train.select("features", "label"))
     rows = []
     for split, part in (("train", train), ("test", test)):
         scored = model.transform(part)

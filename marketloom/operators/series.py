@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from marketloom.functions.calendar import fill_days
 from marketloom.functions.dist import t_two_sided
 from marketloom.functions.exprs import n_rows, or_zero, with_lookup, with_one_row
-from marketloom.functions.ordered import quantiles, running_totals
+from marketloom.functions.ml import fit_cached
+from marketloom.functions.ordered import materialize, quantiles, running_totals
 from marketloom.operators.quality import unpivot_numbers
 
 
@@ -531,8 +532,9 @@ def forecast_trees(series: DataFrame, horizon: int, keys: Sequence[str] = ("seri
     names = [c for c in features.columns if c not in (*keys, "day", "units_sold", "revenue_inr")]
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     train = assembler.transform(features.withColumn("label", F.col("units_sold").cast("double"))).select("features", "label")
-    boosted = GBTRegressor(maxIter=20, maxDepth=4, seed=42).fit(train)
-    forest = RandomForestRegressor(numTrees=30, maxDepth=8, seed=42).fit(train)
+    train = materialize(train)  # both models read the same written features
+    boosted = fit_cached(GBTRegressor(maxIter=20, maxDepth=4, seed=42), train)
+    forest = fit_cached(RandomForestRegressor(numTrees=30, maxDepth=8, seed=42), train)
     lags = [c for c in names if c.startswith(("lag_", "ma_"))]
     last = features.groupBy(*keys).agg(F.max_by(F.struct("t", *lags), "day").alias("l"), F.max("day").alias("last_day"))
     future = _horizon(last, horizon)

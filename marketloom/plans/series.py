@@ -184,7 +184,7 @@ query("d1_drift_baseline", "feature:s mean:d4 std:d4 min:d4 max:d4 median:d4 q25
 _PSI = _DRIFT + """, ed AS (SELECT feature, MIN(value) lo, MAX(value) hi, COUNT(*) nb FROM lb GROUP BY 1),
 bb AS (SELECT feature, CASE WHEN value = hi THEN 9 ELSE CAST(floor((value - lo) / ((hi - lo) / 10)) AS INT) END b, COUNT(*) n FROM lb JOIN ed USING (feature) GROUP BY 1, 2),
 cb AS (SELECT {p} feature, CASE WHEN value = hi THEN 9 ELSE CAST(floor((value - lo) / ((hi - lo) / 10)) AS INT) END b, COUNT(*) n FROM lc JOIN ed USING (feature) WHERE value BETWEEN lo AND hi GROUP BY ALL),
-cn AS (SELECT {p} feature, COUNT(*) nc, AVG(value) cm, STDDEV_SAMP(value) cs FROM lc GROUP BY ALL),
+cn AS (SELECT {p} feature, COUNT(*) nc, AVG(value) cm, STDDEV_SAMP(value) cs FROM lc GROUP BY ALL HAVING COUNT(*) >= 10),
 ps AS (SELECT {c} cn.feature, SUM((GREATEST(COALESCE(cb.n, 0) / nc, 0.0001) - GREATEST(COALESCE(bb.n, 0) / nb, 0.0001)) * ln(GREATEST(COALESCE(cb.n, 0) / nc, 0.0001) / GREATEST(COALESCE(bb.n, 0) / nb, 0.0001))) AS psi
   FROM cn JOIN ed USING (feature) CROSS JOIN range(10) r(b) LEFT JOIN bb ON bb.feature = cn.feature AND bb.b = r.b LEFT JOIN cb ON cb.feature = cn.feature AND cb.b = r.b {j} GROUP BY ALL),
 bm AS (SELECT feature, AVG(value) bm FROM lb GROUP BY 1)
