@@ -49,3 +49,34 @@ def test_filter_and_columns_reach_the_scan(c):
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
     scan = c.order_items.select("order_id", "quantity")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in scan
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, c):
+    from marketloom.sources import io
+
+    io.write_bucketed(c.orders, "bucketed_orders", ("order_id",), 8, io.scratch_path(spark, "bucketed-orders"))
+    io.write_bucketed(c.order_items, "bucketed_items", ("order_id",), 8, io.scratch_path(spark, "bucketed-items"))
+    joined = spark.table("bucketed_items").join(spark.table("bucketed_orders").hint("merge"), "order_id").groupBy("order_id").agg(F.sum("line_total").alias("v"))
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == c.order_items.select("order_id").distinct().count()
+    spark.sql("DROP TABLE bucketed_orders")
+    spark.sql("DROP TABLE bucketed_items")
+
+
+def test_ranks_do_not_use_a_single_task(spark, c):
+    """The only window over one partition is the table of per-range offsets."""
+    from marketloom.functions.ordered import running_totals
+
+    out = running_totals(c.orders.select("order_id", "order_total"), [F.col("order_total"), F.col("order_id")], sums={"s": "order_total"})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert any("_range" in w.rsplit("[_range", 1)[-1] or "[_range" in w for w in windows)
+    assert "CartesianProduct" not in plan and "cross" not in plan.lower()
+
+
+def test_query_names_follow_the_inventory():
+    import re
+
+    from marketloom.plans import catalog
+
+    assert all(re.match(r"^[a-z]+\d+_[a-z0-9_]+$", n) for n in catalog.QUERIES)
