@@ -473,14 +473,10 @@ def temporal_patterns(orders: DataFrame, as_of: dt.date) -> DataFrame:
 def diversity_metrics(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     """Distinct categories and brands and the category concentration index."""
     cells = _owned_lines(orders, items, products).groupBy("customer_id", "category_name", "brand_name").agg(n_rows().alias("n"))
-    by_category = cells.groupBy("customer_id", "category_name").agg(
-        F.sum("n").alias("n"), F.collect_set("brand_name").alias("brands")
-    )
-    return by_category.groupBy("customer_id").agg(
-        n_rows().alias("unique_categories"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("brands")))).alias("unique_brands"),
-        ratio(F.sum(F.col("n") * F.col("n")), F.sum("n") * F.sum("n")).alias("category_concentration"),
-    )
+    brands = cells.groupBy("customer_id", "brand_name").agg(F.sum("n").alias("n")).groupBy("customer_id").agg(n_rows().alias("unique_brands"))
+    by_category = cells.groupBy("customer_id", "category_name").agg(F.sum("n").alias("n")).groupBy("customer_id").agg(
+        n_rows().alias("unique_categories"), ratio(F.sum(F.col("n") * F.col("n")), F.sum("n") * F.sum("n")).alias("category_concentration"))
+    return by_category.join(brands, "customer_id")
 
 
 def behavioral_features(

@@ -24,10 +24,6 @@ def skewed(spark):
     return spark.createDataFrame(pdf).repartition(8)
 
 
-def _many_ranges(spark):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-
-
 @pytest.fixture(autouse=True)
 def many_ranges(spark):
     """Keep the range partitions apart so that offsets matter."""
@@ -94,3 +90,11 @@ def test_tail_columns(spark):
     assert rows[1]["p"] == pytest.approx(1.0) and rows[1]["c"] == pytest.approx(0.5)
     assert rows[2]["p"] is None
     assert rows[0]["z"] == pytest.approx(math.erfc(2.228 / math.sqrt(2)))
+
+
+def test_a_hot_key_is_spread_over_ranges(spark, skewed):
+    """No range holds more than about its share of the rows, whatever the keys."""
+    order = [F.col("k"), F.col("v"), F.col("id")]
+    ranges = skewed.repartitionByRange(*order).groupBy(F.spark_partition_id().alias("r")).agg(F.count("*").alias("n"), F.count_if(F.col("k") == "hot").alias("hot")).collect()
+    assert sum(r["hot"] > 0 for r in ranges) >= 2
+    assert max(r["n"] for r in ranges) < 2 * 6000 / len(ranges)
