@@ -9,22 +9,15 @@ checkpoint folder so that a lost executor cannot change the numbering.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_LOCAL_BITS = 33
-
+from marketloom.functions.shared import materialize
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names."""
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marketloom-"))
-    return df.checkpoint()
+_LOCAL_BITS = 33
 
 
 def running_totals(

@@ -63,15 +63,16 @@ def _signatures(edges: DataFrame, node: str, other: str) -> DataFrame:
     return digests.join(first, ["s0", "s1", "s2"]).select(node, "representative")
 
 
-def connected_components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(pairs: DataFrame) -> DataFrame:
     """Smallest reachable node per node, by label propagation with pointer jumping.
 
     Every round is written to the checkpoint folder, so the plan does not grow
-    and a lost executor repeats one round only.
+    and a lost executor repeats one round only.  It ends when no label changes:
+    labels only fall, so it always ends.
     """
     both = materialize(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).toDF("node", "peer").distinct())
     labels = materialize(both.groupBy("node").agg(F.least(F.min("peer"), F.col("node")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         heard = both.join(labels.select(F.col("node").alias("peer"), F.col("label").alias("heard")), "peer").groupBy("node").agg(F.min("heard").alias("heard"))
         step = labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("was"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
@@ -79,8 +80,7 @@ def connected_components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
         changed = moved.filter(F.col("label") != F.col("was")).limit(1).count()
         labels = moved.select("node", "label")
         if not changed:
-            break
-    return labels
+            return labels
 
 
 def communities(edges: DataFrame, node: str, other: str, threshold: float = 0.3, min_size: int = 5) -> DataFrame:
