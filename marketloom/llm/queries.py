@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, packing, quality, sharding, simhash, warc
+from marketloom.llm import bpe, packing, quality, sharding, simhash, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,25 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
+@query
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a window of 20 that starts earlier too are removed."""
+    cut = substring.deduplicated(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op4_substring"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20)),
+f AS (SELECT g, min(struct_pack(d := doc_id, s := s)) AS m FROM k GROUP BY g),
+c AS (SELECT DISTINCT doc_id, s + i AS pos FROM (SELECT k.doc_id, k.s, unnest(range(0, 20)) AS i FROM k JOIN f USING (g) WHERE struct_pack(d := k.doc_id, s := k.s) > m)),
+a AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+r AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM a ANTI JOIN c USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+"""
+
+
 @query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, read back from its archive."""
