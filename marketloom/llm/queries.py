@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, packing, quality, sharding, simhash, substring, warc
+from marketloom.llm import bpe, metric_join, packing, quality, sharding, simhash, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,12 @@ FROM p LEFT JOIN f USING (d)
 """
 
 
+@query
+def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all embeddings with a cosine of at least 0.95, and their components."""
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of even row counts, equal texts together."""
