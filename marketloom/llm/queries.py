@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, metric_join, packing, quality, sharding, simhash, substring, warc
+from marketloom.llm import bpe, metric_join, packing, quality, sharding, simhash, substring, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,16 @@ FROM p LEFT JOIN f USING (d)
 """
 
 
+#: The rules of the query.
+URL_RULES = [url_filter.Rule.parse(r) for r in ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")]
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by rule, else by boosted trees."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query
 def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all embeddings with a cosine of at least 0.95, and their components."""
