@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from marketloom.functions.shared import scratch_table
 from marketloom.llm.batches import encoded, runs, split_batches
@@ -286,25 +287,36 @@ def _later_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         held = [c[at[-2]:at[-2] + 1] for c in cols]
 
 
+def _without(text: bytes, marks: list[dict] | None) -> tuple[int, list[bytes], list[tuple[int, int]]]:
+    """Number of words, the words outside the marked windows, and the passages taken out."""
+    words = text.split()
+    out = passages(np.array([(m["start"], m["start"] + m["n"] - 1 + WINDOW) for m in marks or []], np.int64).reshape(-1, 2))
+    keep, at = [], 0
+    for a, b in out:
+        keep += words[at:a]
+        at = b
+    return len(words), keep + words[at:] if out else words, out
+
+
 def _cut_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in split_batches(batches, "text"):
-        ids, texts, marks = part.column(0), encoded(part.column(2)), part.column(3).to_pylist()
-        total, gone, kept, spans = [], [], [], []
-        for text, found in zip(texts, marks):
-            words = text.split()
-            out = passages(np.array([(m["start"], m["start"] + m["n"] - 1 + WINDOW) for m in found or []], np.int64).reshape(-1, 2))
-            keep, at = [], 0
-            for a, b in out:
-                keep += words[at:a]
-                at = b
-            keep = keep + words[at:] if out else words
-            total.append(len(words)), gone.append(len(words) - len(keep)), kept.append(b" ".join(keep))
-            spans.append([{"start": a, "end": b} for a, b in out])
+        found = [_without(t, m) for t, m in zip(encoded(part.column(2)), part.column(3).to_pylist())]
+        spans = [[{"start": a, "end": b} for a, b in out] for _, _, out in found]
         yield pa.record_batch([
-            ids, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
+            part.column(0), pa.array([n for n, _, _ in found], pa.int64()), pa.array([n - len(k) for n, k, _ in found], pa.int64()),
+            pa.array([b" ".join(k) for _, k, _ in found], pa.binary()).cast(pa.string()),
             pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "n_words", "n_removed", "kept", "spans"])
 
 
+def _clean_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with something to remove become their kept words; the others stay as they are."""
+    for part in split_batches(batches, "text"):
+        old, new = part.column(2).to_pylist(), []
+        for text, marks in zip(old, part.column(3).to_pylist()):
+            new.append(b" ".join(_without(text.encode(), marks)[1]).decode() if marks else text)
+        yield pa.record_batch([pa.array(new, pa.string()), pa.array([bool(m) for m in part.column(3).to_pylist()]), part.column(4)], ["text", "changed", "rest"])
+
+
 def passages(ranges: np.ndarray) -> list[tuple[int, int]]:
     """Overlapping and touching ranges united."""
     if not len(ranges):
@@ -318,16 +330,16 @@ def passages(ranges: np.ndarray) -> list[tuple[int, int]]:
 # --- operator ----------------------------------------------------------------
 
 
-def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_crc"), text.alias("text"), *more)
 
 
-def _with_marks(docs: DataFrame, marks: DataFrame, *more: str) -> DataFrame:
+def _with_marks(docs: DataFrame, marks: DataFrame, *more: Column) -> DataFrame:
     """Documents with the marks of each as an array; the small side is the one that is built."""
     per = marks.groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     joined = _keyed(docs, *more).join(per.hint("shuffle_hash"), (F.col("_doc") == per["doc"]) & (F.col("_crc") == per["crc"]), "left")
-    return joined.select("_doc", "_crc", "text", "marks", *more)
+    return joined.drop("doc", "crc").select("_doc", "_crc", "text", "marks", *joined.columns[3:3 + len(more)])
 
 
 def _shuffled(df: DataFrame, *order: str) -> DataFrame:
@@ -355,3 +367,26 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     ids = F.when(F.col("_doc") != LAST, F.col("_doc")).cast(kind)
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept string, spans array<struct<start: bigint, end: bigint>>"
     return rows.select(ids.alias("doc_id"), "_crc", "text", "marks").mapInArrow(_cut_batches, schema)
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text``; the other columns stay, ``n_chars`` is counted anew.
+
+    A text that loses words becomes its kept words, joined by a space; all others keep
+    their white space.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    rows = _with_marks(docs, repeats(docs), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    kind = rows.schema["rest"].dataType
+    schema = StructType([StructField("text", StringType()), StructField("changed", BooleanType()), StructField("rest", kind)])
+    out = rows.select("_doc", "_crc", "text", "marks", "rest").mapInArrow(_clean_batches, schema)
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        old = F.col("rest").getField(name)
+        if name == "n_chars":
+            return F.when(F.col("changed"), F.length("text").cast(docs.schema[name].dataType)).otherwise(old).alias(name)
+        return old.alias(name)
+
+    return out.select(*[column(c) for c in docs.columns])
