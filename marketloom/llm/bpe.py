@@ -201,7 +201,7 @@ def unpacked(ids: str | Column) -> Column:
 
 def text(raw: str | Column) -> Column:
     """Decoded bytes as text; what is not UTF-8, such as half a character, becomes U+FFFD."""
-    return F.decode(F.col(raw) if isinstance(raw, str) else raw, F.lit("UTF-8"))
+    return F.make_valid_utf8((F.col(raw) if isinstance(raw, str) else raw).cast("string"))
 
 
 def _offset_batches(batches: Iterable[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
