@@ -1,7 +1,7 @@
 """Shards of even size that keep linked documents together: balanced label propagation.
 
-DataFrame operations only.  Documents with equal texts are linked.  Every document starts in
-a shard dealt by its hash.  In each round a linked document hears how many of its
+DataFrame operations only.  Documents with equal texts are linked.  Linked documents start
+in a row that is cut where a shard is full.  In each round a linked document hears how many of its
 neighbours are in every shard and asks to move to the one with the most; the shard
 accepts as many as its quota of rows has left, larger requests first.  Groups travel as
 rows (group, shard, count), so a group of any size is at most one row per shard.  What
@@ -74,13 +74,26 @@ def _at(cumulative: Column, rank: Column) -> Column:
     return F.size(F.filter(cumulative, lambda c: c <= rank))
 
 
-def spread(groups: DataFrame, shards: int) -> DataFrame:
-    """Start: the documents of all groups dealt to the shards in turn, as rows (group, shard, n)."""
-    placed = _before(groups.withColumn("_all", F.lit(0)), "_all", ["_group", "n"], "_first", F.col("n"))
-    dealt = placed.select("_group", "n", "_first", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    upto = lambda r: F.floor((r + F.lit(shards - 1) - F.col("shard")) / shards)  # noqa: E731  ranks below r that fall to the shard
-    count = upto(F.col("_first") + F.col("n")) - upto(F.col("_first"))
-    return dealt.select("_group", "shard", count.cast("long").alias("n")).filter("n > 0")
+def laid_out(groups: DataFrame, quotas: list[int], few: bool = False) -> DataFrame:
+    """Start: the groups in a row, cut where a shard's quota ends, as rows (group, shard, n).
+
+    ``few`` orders a bounded number of groups by size, the largest first.
+    """
+    if few:
+        before = F.sum("n").over(W.orderBy(F.desc("n"), "_group").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+        placed = groups.select("_group", "n", before.alias("_first"))
+    else:
+        placed = _before(groups.withColumn("_all", F.lit(0)), "_all", ["_group", "n"], "_first", F.col("n"))
+    ends = _array(_cumulative(quotas))
+    rows = placed.select("_group", "n", "_first", F.posexplode(ends).alias("shard", "_end"))
+    start = F.col("_end") - F.element_at(_array(quotas), F.col("shard") + 1)
+    count = F.least(F.col("_first") + F.col("n"), F.col("_end")) - F.greatest(F.col("_first"), start)
+    return rows.select("_group", "shard", count.alias("n")).filter("n > 0")
+
+
+def _held(placed: DataFrame, shards: int) -> list[int]:
+    rows = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row per shard
+    return [rows.get(s, 0) for s in range(shards)]
 
 
 def propagate(placed: DataFrame, quotas: list[int]) -> DataFrame:
@@ -93,8 +106,7 @@ def propagate(placed: DataFrame, quotas: list[int]) -> DataFrame:
     """
     while True:
         placed = materialize(placed)
-        held = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row per shard
-        room = [q - held.get(s, 0) for s, q in enumerate(quotas)]
+        room = [q - h for q, h in zip(quotas, _held(placed, len(quotas)))]
         order = W.partitionBy("_group").orderBy(F.desc("n"), F.xxhash64("_group", "shard"), "shard")  # a group has a row per shard at most
         ranked = placed.withColumn("_rank", F.row_number().over(order)).withColumn("_room", F.element_at(_array(room), F.col("shard") + 1))
         best = F.min(F.when(F.col("_room") > 0, F.struct("_rank", "shard"))).over(W.partitionBy("_group"))
@@ -118,8 +130,12 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     linked = groups.filter("n > 1")
     total = rows.count()
     quotas = _quota(total, shards)
-    placed = propagate(spread(linked, shards), quotas)
-    held = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    # groups of more than an eighth of a shard come first: there are at most eight for each shard
+    large = F.col("n") > max(1, total // (8 * shards))
+    first = propagate(laid_out(linked.filter(large), quotas, few=True), quotas)
+    left = [q - h for q, h in zip(quotas, _held(first, shards))]
+    placed = first.union(propagate(laid_out(linked.filter(~large), left), left))
+    held = _held(placed, shards)
     # members of a group take its shards in order; a group's places are a row per shard at most
     inside = W.partitionBy("_group").orderBy("shard")
     ends = placed.withColumn("_end", F.sum("n").over(inside))
@@ -129,7 +145,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     known = F.col("_runs").isNotNull()
     own = F.filter("_runs", lambda r: F.col("_rank") < r["_end"])[0]["shard"]
     ready = materialize(members.select(*order, F.when(known, own).alias("shard")))
-    free = _cumulative([q - held.get(s, 0) for s, q in enumerate(quotas)])
+    free = _cumulative([q - h for q, h in zip(quotas, held)])
     single = _before(ready.filter("shard IS NULL").withColumn("_all", F.lit(0)), "_all", order, "_rank")
     filled = single.select(*order, _at(_array(free), F.col("_rank")).cast("int").alias("shard"))
     whole = ready.filter("shard IS NOT NULL").unionByName(filled)
