@@ -106,7 +106,7 @@ class _Archive:
     def __init__(self, folder: str, dictionary: bytes):
         self.uri = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         system, path = _open(self.uri)
-        self.out = system.open_output_stream(path)
+        self.out = system.open_output_stream(path, compression=None)  # by its name it would be compressed twice
         self.dict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         self.frames = zstandard.ZstdCompressor(LEVEL, dict_data=self.dict, write_checksum=True)
         self.size = self.records = 0
@@ -264,7 +264,7 @@ def parsed(data: bytes) -> dict:
 def records(path: str) -> Iterator[dict]:
     """All records of an archive, one frame at a time."""
     system, name = _open(path)
-    with system.open_input_stream(name) as source:
+    with system.open_input_stream(name, compression=None) as source:
         stream = _Stream(source)
         position = 0
         try:
