@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from marketloom.functions.exprs import days_between, is_valid, n_rows, or_zero, ratio, with_one_row
 from marketloom.functions.ml import fit_cached
@@ -76,14 +77,17 @@ def _batched(data: DataFrame, columns: Sequence[str], loglik: Callable[..., np.n
     return evaluate
 
 
-def maximize(evaluate: Callable[[list[np.ndarray]], np.ndarray], start: Sequence[float], iterations: int = 25, tol: float = 1e-6) -> np.ndarray:
-    """Damped Newton ascent on the logarithms of positive parameters.
+def maximize(evaluate: Callable[[list[np.ndarray]], np.ndarray], start: Sequence[float], iterations: int = 25, tol: float = 1e-6) -> tuple[np.ndarray, bool]:
+    """Damped Newton ascent on the logarithms of positive parameters; the point, and whether it is a maximum.
+
+    Data whose likelihood rises without end have none; the last point is returned then.
 
     Each iteration asks for all finite-difference points at once, then for a set
     of step lengths: two passes over the data whatever the number of parameters.
     """
     theta = np.log(np.asarray(start, float))
     k, h = len(theta), 1e-3
+    converged = False
     for _ in range(iterations):
         points = [theta]
         for i in range(k):
@@ -111,21 +115,23 @@ def maximize(evaluate: Callable[[list[np.ndarray]], np.ndarray], start: Sequence
         scores = evaluate([theta + s * direction for s in lengths])
         best = int(np.argmax(scores))
         if not scores[best] > f[0]:
+            converged = True
             break
         theta = theta + lengths[best] * direction
         if scores[best] - f[0] < tol * max(1.0, abs(f[0])) * 1e-3:
+            converged = True
             break
-    return np.exp(theta)
+    return np.exp(theta), converged
 
 
 def fit_purchase_model(summary: DataFrame) -> dict[str, float]:
     """Maximum likelihood of the BG/NBD purchase-count model; equal histories are counted once."""
     data = summary.groupBy((F.col("frequency") - 1).alias("x"), F.col("recency").alias("tx"), F.col("T").alias("t")).agg(n_rows().alias("w")).persist()
     try:
-        fitted = maximize(_batched(data, ["x", "tx", "t"], _purchase_loglik), PURCHASE_START)
+        fitted, converged = maximize(_batched(data, ["x", "tx", "t"], _purchase_loglik), PURCHASE_START)
     finally:
         data.unpersist()
-    return dict(zip(("r", "alpha", "a", "b"), map(float, fitted)))
+    return dict(zip(("r", "alpha", "a", "b"), map(float, fitted))) | {"converged": float(converged)}
 
 
 def fit_spend_model(summary: DataFrame) -> dict[str, float]:
@@ -134,10 +140,10 @@ def fit_spend_model(summary: DataFrame) -> dict[str, float]:
     try:
         scale = float(data.agg(F.avg("m")).first()[0] or 1.0)
         scaled = data.withColumn("m", F.col("m") / scale)
-        p, q, g = maximize(_batched(scaled, ["x", "m"], _spend_loglik), (SPEND_START[0], SPEND_START[1], 1.0))
+        (p, q, g), converged = maximize(_batched(scaled, ["x", "m"], _spend_loglik), (SPEND_START[0], SPEND_START[1], 1.0))
     finally:
         data.unpersist()
-    return {"p": float(p), "q": float(q), "gamma": float(g * scale)}
+    return {"p": float(p), "q": float(q), "gamma": float(g * scale), "converged": float(converged)}
 
 
 def parameter_row(df: DataFrame, parameters: Mapping[str, float]) -> DataFrame:
@@ -159,29 +165,38 @@ def predict_alive(summary: DataFrame, p: Mapping[str, float]) -> DataFrame:
     return summary.withColumn("p_alive", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 / (1 + _dead_odds(p)))))
 
 
-def _hypergeometric(terms: int):
-    """2F1(a, b; c; z) as a vectorised power series; a fold over 100 lambda steps per row is far slower."""
-    @pandas_udf("double")
-    def total(a: pd.Series, b: pd.Series, c: pd.Series, z: pd.Series) -> pd.Series:
-        term = np.ones(len(a))
-        out = np.zeros(len(a))
-        for j in range(terms):
-            out += term
-            term = term * ((a + j) * (b + j) / ((c + j) * (j + 1)) * z).to_numpy(float)
-        return pd.Series(out)
-
-    return total
-
-
-def predict_transactions(summary: DataFrame, p: Mapping[str, float], days: int = 90, terms: int = 100) -> DataFrame:
-    """Expected purchases in the next ``days``; the hypergeometric term is summed over Arrow batches."""
+@pandas_udf(DoubleType())
+def _hypergeometric(a: pd.Series, b: pd.Series, c: pd.Series, z: pd.Series) -> pd.Series:
+    """2F1(a, b; c; z) for 0 <= z < 1 as a power series over the batch, summed until no row's term counts."""
+    a, b, c, z = (s.to_numpy(float) for s in (a, b, c, z))
+    term = np.ones(len(a))
+    out = np.ones(len(a))
+    j = 0
+    while True:
+        ratio = (a + j) * (b + j) / ((c + j) * (j + 1)) * z
+        term = term * ratio
+        out += term
+        j += 1
+        # past its peak a term with ratio q leaves less than term * q / (1 - q)
+        open_ = np.abs(term) > 1e-17 * np.abs(out) * np.maximum(1e-6, 1 - np.maximum(np.abs(ratio), z))
+        if not (open_ & np.isfinite(term)).any():
+            return pd.Series(out)
+
+
+def predict_transactions(summary: DataFrame, p: Mapping[str, float], days: int = 90) -> DataFrame:
+    """Expected purchases in the next ``days``.
+
+    The series is the Euler transform of the usual one: only its third parameter grows
+    with the number of purchases, so its terms fall from the start and neither they
+    nor the power before them leave the range of a double, however many purchases a
+    customer has.
+    """
     x = (F.col("frequency") - 1).cast("double")
     r, alpha, a, b = (float(p[k]) for k in ("r", "alpha", "a", "b"))
     z = days / (alpha + F.col("T") + days)
-    top, mid, low = r + x, b + x, a + b + x - 1
-    series = _hypergeometric(terms)(top, mid, low, z)
-    power = F.pow((alpha + F.col("T")) / (alpha + F.col("T") + days), top)
-    expected = low / (a - 1) * (1 - power * series) / (1 + _dead_odds(p))
+    low = a + b + x - 1
+    series = _hypergeometric(F.lit(a + b - 1 - r), F.lit(a - 1), low, z)
+    expected = low / (a - 1) * (1 - F.pow(1 - z, F.lit(a - 1)) * series) / (1 + _dead_odds(p))
     return summary.withColumn("expected_transactions", F.greatest(F.lit(0.0), F.coalesce(F.nanvl(expected, F.lit(0.0)), F.lit(0.0))))
 
 

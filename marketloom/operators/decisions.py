@@ -29,7 +29,7 @@ ACTIONS = {
         ("Loyalty program refresh", 0.15, "Surprise points or tier bump for Medium-risk", "2 weeks"),
     ),
     "INVENTORY": (
-        ("Raise emergency PO", 0.50, "Auto-generate PO for 2x safety stock on Critical", "48h"),
+        ("Raise emergency PO", 0.50, "Auto-generate PO for 2× safety stock on Critical", "48h"),
         ("Supplier escalation", 0.25, "Priority call to at-risk suppliers, expedite delivery", "24h"),
         ("Shift marketing spend", 0.10, "Reduce promo spend on out-of-stock products", "1 week"),
     ),
@@ -39,13 +39,17 @@ ACTIONS = {
         ("Supplier renegotiation", 0.15, "Target 7% cost reduction on Volume/Premium", "1 month"),
     ),
     "MARKETING": (
-        ("Pause low-ROAS channels", 0.45, "Reallocate 60% of budget to top 3 performing campaigns", "Immediate"),
+        ("Pause low-ROAS channels", 0.45, "Reallocate 60% of budget → top 3 performing campaigns", "Immediate"),
         ("A/B test creatives", 0.25, "New hero creative test for CTR < 2%", "2 weeks"),
         ("Audience retargeting", 0.20, "Launch cart-abandon retargeting for drop-off > 60%", "1 week"),
     ),
 }
 
 
+#: Fixed value: the action of any other category.
+GENERAL_ACTION = ("General review", 0.10, "Manual investigation", "1 week")
+
+
 def _priority_score(priority: Column) -> Column:
     return F.coalesce(*[F.when(priority == k, v) for k, v in PRIORITY.items()], F.lit(20))
 
@@ -78,9 +82,9 @@ def executive_alerts(anomalies: DataFrame, churn: DataFrame, inventory: DataFram
 
 
 def alert_recommendations(alerts: DataFrame) -> DataFrame:
-    """Three actions per alert with their share of the impact."""
-    rows = {c: F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(a).alias("recommendation"), F.lit(f).alias("factor"), F.lit(d).alias("action_details"), F.lit(t).alias("timeline")) for i, (a, f, d, t) in enumerate(ts)]) for c, ts in ACTIONS.items()}
-    chosen = F.coalesce(*[F.when(F.col("category") == c, arr) for c, arr in rows.items()])
+    """Three actions per alert with their share of the impact; a general review for other categories."""
+    steps = lambda ts: F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(a).alias("recommendation"), F.lit(f).alias("factor"), F.lit(d).alias("action_details"), F.lit(t).alias("timeline")) for i, (a, f, d, t) in enumerate(ts)])
+    chosen = F.coalesce(*[F.when(F.col("category") == c, steps(ts)) for c, ts in ACTIONS.items()], steps([GENERAL_ACTION]))
     out = alerts.select("alert_rank", "category", "subject", "priority", "priority_score", "impact_revenue_inr", "impact_customers", F.explode(chosen).alias("t"))
     return out.select(
         "alert_rank", "category", "subject", "priority", "t.step", "t.recommendation", "t.action_details", "t.timeline", F.round(F.col("t.factor") * 100, 0).alias("estimated_impact_pct"),

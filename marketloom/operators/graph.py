@@ -135,33 +135,32 @@ def co_purchases(edges: DataFrame, min_count: int = 5) -> DataFrame:
 # --- lineage -----------------------------------------------------------------
 
 
-def closure(edges: DataFrame, start: DataFrame, max_depth: int = 20) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Everything downstream of the start nodes with its depth.
 
     ``edges`` holds ``source`` and ``target``, ``start`` a ``node`` column.
     """
     frontier = start.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
-    reached = frontier
-    for depth in range(1, max_depth + 1):
+    reached, depth = frontier, 0
+    while True:  # ends: a node is reached once
+        depth += 1
         step = frontier.join(edges, frontier["node"] == edges["source"]).select("root", F.col("target").alias("node")).distinct()
         frontier = materialize(step.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached
+            return reached
+        reached = materialize(reached.unionByName(frontier))
 
 
-def trace_flow(edges: DataFrame, source: str, max_depth: int = 20) -> DataFrame:
+def trace_flow(edges: DataFrame, source: str) -> DataFrame:
     """The transformations on the first path from a source to each node it reaches.
 
     ``edges`` holds ``source``, ``target`` and ``transformation``.
     """
     frontier = edges.sparkSession.range(1).select(F.lit(source).alias("node"), F.array().cast("array<string>").alias("path"))
     reached = frontier
-    for _ in range(max_depth):
+    while True:
         step = frontier.join(edges, frontier["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min(F.concat("path", F.array("transformation"))).alias("path"))
         frontier = materialize(step.join(reached.select("node"), "node", "left_anti"))
         if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached
+            return reached
+        reached = materialize(reached.unionByName(frontier))

@@ -436,12 +436,18 @@ def check_reference(child: DataFrame, table: str, fk: str, parent: DataFrame, pk
 
 
 def content_hash(df: DataFrame, name: str) -> DataFrame:
-    """Order-free content id: count and sum of row hashes, digested with the column names."""
-    row = F.xxhash64(*[F.col(c).cast("string") for c in df.columns]).cast("decimal(38,0)")
-    agg = df.agg(n_rows().alias("n_rows"), F.sum(row).alias("_h"))
+    """Order-free content id: count and sums of row digests, digested with the column names.
+
+    A row is its values with their lengths, nulls marked, so no two rows spell the same;
+    its SHA-256 is summed in four parts of 64 bits.
+    """
+    value = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    row = F.sha2(F.concat(*[value(F.col(f"`{c}`").cast("string")) for c in df.columns]), 256)
+    part = lambda i: F.sum(F.conv(F.substring("_row", 16 * i + 1, 16), 16, 10).cast("decimal(38,0)"))
+    agg = df.select(row.alias("_row")).agg(n_rows().alias("n_rows"), *[part(i).alias(f"_h{i}") for i in range(4)])
     return agg.select(
         F.lit(name).alias("dataset_name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), F.lit(",".join(df.columns)).alias("column_names"),
-        F.sha2(F.concat_ws("|", F.lit(",".join(df.columns)), F.col("n_rows").cast("string"), F.col("_h").cast("string")), 256).alias("content_hash"),
+        F.sha2(F.concat_ws("|", F.lit(",".join(df.columns)), F.col("n_rows").cast("string"), *[F.col(f"_h{i}").cast("string") for i in range(4)]), 256).alias("content_hash"),
     )
 
 

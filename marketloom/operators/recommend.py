@@ -107,7 +107,9 @@ def content_based(matrix: DataFrame, products: DataFrame, n: int = 5) -> DataFra
     peers = F.sum("unseen").over(W.partitionBy("customer_id", "score"))
     opened = cells.withColumn("better", upto - peers).filter((F.col("better") < n) & (F.col("unseen") > 0) & (F.col("score") > 0))
     ranked = running_totals(kinds, [F.col("product_id")], keys=["category_name", "brand_name"], rank="_i")
-    candidates = opened.join(ranked, ["category_name", "brand_name"]).filter(F.col("_i") <= F.col("owned") + n)
+    # each customer asks for the places 1 .. owned + n of a cell, so a cell is never opened as a whole
+    asked = opened.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("owned") + n, F.col("size")))))
+    candidates = asked.join(ranked, ["category_name", "brand_name", "_i"])
     unseen = candidates.select("customer_id", "product_id", "score").join(matrix.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
     return top_n(unseen, n)
 
@@ -183,7 +185,8 @@ def ranking_data(matrix: DataFrame, counts: DataFrame, customers: DataFrame, pro
     most = counts.agg(F.max("n")).scalar()
     positive = counts.select("customer_id", "product_id", F.col("n").alias("interaction_count"), (F.col("n") / most).alias("relevance"))
     n_products = products.agg(n_rows()).scalar()
-    numbered = products.select("product_id").withColumn("_slot", F.col("product_id"))
+    # slots are places in the catalogue, whatever the ids are
+    numbered = running_totals(products.select("product_id").distinct(), [F.col("product_id")], rank="_place").select("product_id", (F.col("_place") - 1).alias("_slot"))
     proposed = counts.select("customer_id", F.pmod(F.xxhash64("customer_id", "product_id"), n_products).alias("_slot")).distinct().join(numbered, "_slot").select("customer_id", "product_id")
     negative = proposed.join(counts.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti").select(
         "customer_id", "product_id", F.lit(0).cast("long").alias("interaction_count"), F.lit(0.0).alias("relevance"))
@@ -229,7 +232,8 @@ def category_or_popular(customers: DataFrame, matrix: DataFrame, products: DataF
     ranked = running_totals(kinds, [F.col("product_id")], keys=["category_name"], rank="_i")
     # the first n unseen products lie among the first owned + n of the category
     wanted = favourite.join(owned, ["customer_id", "category_name"], "left")
-    candidates = wanted.join(ranked, "category_name").filter(F.col("_i") <= or_zero("owned") + n)
+    asked = wanted.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), or_zero("owned").cast("long") + n)))
+    candidates = asked.join(ranked, ["category_name", "_i"])
     unseen = candidates.select("customer_id", "product_id").join(matrix.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
     picked = unseen.withColumn("rank", F.row_number().over(W.partitionBy("customer_id").orderBy("product_id"))).filter(F.col("rank") <= n)
     old = picked.select("customer_id", "product_id", "rank", F.lit("category_based").alias("strategy"))

@@ -56,7 +56,7 @@ def lexicon_sentiment(
 
 def train_sentiment(reviews: DataFrame, text: str = "review_text", rating: str = "rating"):
     """Logistic regression on hashed words, trained on the ratings."""
-    data = reviews.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), (F.col(rating) >= 4).cast("double").alias("label"))
+    data = reviews.filter(F.col(rating).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("_text"), (F.col(rating) >= 4).cast("double").alias("label"))
     steps = Pipeline(stages=[
         RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+", toLowercase=True), HashingTF(inputCol="_words", outputCol="features", numFeatures=1 << 14),
         LogisticRegression(regParam=0.01, maxIter=20)])

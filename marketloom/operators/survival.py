@@ -112,7 +112,7 @@ def _cox_sums(df: DataFrame, x: Sequence[Column], beta: np.ndarray) -> list:
     return df.groupBy("duration").agg(*cols).orderBy(F.col("duration").desc()).collect()
 
 
-def fit_cox(df: DataFrame, covariates: Sequence[str], iterations: int = 12) -> DataFrame:
+def fit_cox(df: DataFrame, covariates: Sequence[str], iterations: int = 50) -> DataFrame:
     """Proportional hazards coefficients by Newton steps with Efron's handling of ties.
 
     Each step aggregates the data to one row per day; the driver holds only those
@@ -141,16 +141,21 @@ def fit_cox(df: DataFrame, covariates: Sequence[str], iterations: int = 12) -> D
             e1 = np.array([row[f"e{i + 1}"] for i in range(k)])
             e2 = np.array([[row[f"e{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
             gradient += np.array([row[f"x{i}"] for i in range(k)])
-            frac = np.arange(d) / d
-            a0 = s0 - frac * row["e0"]
-            a1 = s1[None, :] - frac[:, None] * e1[None, :]
-            mean = a1 / a0[:, None]
-            gradient -= mean.sum(axis=0)
-            information += ((s2[None] - frac[:, None, None] * e2[None]) / a0[:, None, None] - mean[:, :, None] * mean[:, None, :]).sum(axis=0)
+            # sums over the tied events of 1/a0, frac/a0, 1/a0^2, ...: arrays of bounded size, whatever the day's events
+            t = np.zeros(5)
+            for low in range(0, d, 1 << 16):
+                frac = np.arange(low, min(d, low + (1 << 16))) / d
+                inverse = 1 / (s0 - frac * row["e0"])
+                t += [inverse.sum(), (frac * inverse).sum(), (inverse**2).sum(), (frac * inverse**2).sum(), (frac**2 * inverse**2).sum()]
+            gradient -= s1 * t[0] - e1 * t[1]
+            cross = np.outer(s1, e1)
+            information += s2 * t[0] - e2 * t[1] - (np.outer(s1, s1) * t[2] - (cross + cross.T) * t[3] + np.outer(e1, e1) * t[4])
         step = np.linalg.solve(information, gradient)
         beta = beta + step
         if np.max(np.abs(step)) < 1e-9:
             break
+    else:
+        raise RuntimeError(f"no convergence after {iterations} steps")
     data.unpersist()
     se = np.sqrt(np.diag(np.linalg.inv(information)))
     rows = [(c, float(beta[i] / sds[i]), float(np.exp(beta[i] / sds[i])), float(se[i] / sds[i]), float(means[i])) for i, c in enumerate(covariates)]

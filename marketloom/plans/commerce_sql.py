@@ -24,7 +24,7 @@ CTES: dict[str, str] = {
         LEFT JOIN nation n ON n.n_nationkey = c.nation_id
         LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
         LEFT JOIN (SELECT customer_id, MIN(order_date) AS first_day FROM ord GROUP BY 1) f USING (customer_id)""",
-    "prod": _select(m.PRODUCT_COLUMNS, "part"),
+    "prod": _select(m.PRODUCT_COLUMNS, "(SELECT *, (SELECT COUNT(*) FROM supplier) AS n_suppliers FROM part)"),
     "ret": _select(m.RETURN_COLUMNS, "lineitem WHERE l_returnflag = 'R'"),
     "supp": f"SELECT s.*, n.n_name AS state FROM ({_select(m.SUPPLIER_COLUMNS, 'supplier')}) s LEFT JOIN nation n ON n.n_nationkey = s.nation_id",
     "stor": _select(m.STORE_COLUMNS, "region"),
@@ -57,8 +57,8 @@ CTES: dict[str, str] = {
         d.doc_id % (SELECT COUNT(*) FROM part) AS product_id,
         d.doc_id % (SELECT COUNT(*) FROM customer) AS customer_id,
         DATE '2001-08-01' - CAST(d.doc_id % 365 AS INT) AS review_date,
-        CASE WHEN l.quality = 1 THEN 5 ELSE 2 END AS rating
-        FROM documents d JOIN labels l USING (doc_id)""",
+        CASE WHEN l.quality = 1 THEN 5 WHEN l.quality IS NOT NULL THEN 2 END AS rating
+        FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "raw": _select(m.RAW_ORDER_COLUMNS, "orders") + " UNION ALL " + _select(m.RAW_ORDER_COLUMNS, "orders WHERE o_orderkey % 50 = 0"),
     "vord": "SELECT * FROM ord WHERE order_status IN ('Delivered', 'Shipped', 'Processing', 'Returned')",
 }

@@ -27,9 +27,10 @@ query("l2_fit_purchase_model", "r:d3 alpha:d2 a:d3 b:d3")(lambda c: clv.paramete
 query("l3_fit_spend_model", "p:d3 q:d3 gamma:d1")(lambda c: clv.parameter_row(c.orders, clv.fit_spend_model(summary(c))))
 _ODDS = "CASE WHEN frequency > 1 THEN exp(ln(1.4) - ln(6.0 + frequency - 2) + (1.5 + frequency - 1) * (ln(300 + \"T\") - ln(300 + recency))) ELSE 0 END"
 query("l4_probability_alive", "customer_id:i p_alive:d6", _SUM + f"z AS (SELECT 1) SELECT customer_id, 1 / (1 + {_ODDS}) AS p_alive FROM ps")(lambda c: clv.predict_alive(summary(c), BUY))
-_TX = _SUM + f"""hg AS (SELECT customer_id, k, ln((1.5 + frequency - 1 + k) * (6.0 + frequency - 1 + k) / ((1.4 + 6.0 + frequency - 2 + k) * (k + 1)) * (90 / (300 + "T" + 90))) l FROM ps, range(99) r(k)),
-hs AS (SELECT customer_id, 1 + SUM(exp(s)) h FROM (SELECT customer_id, SUM(l) OVER (PARTITION BY customer_id ORDER BY k) s FROM hg) GROUP BY 1),
-tx AS (SELECT ps.*, GREATEST(0, (1.4 + 6.0 + frequency - 2) / 0.4 * (1 - pow((300 + "T") / (300 + "T" + 90), 1.5 + frequency - 1) * h) / (1 + {_ODDS})) AS expected_transactions FROM ps JOIN hs USING (customer_id)),
+_TX = _SUM + f"""hg AS (SELECT customer_id, k, ln((1.5 + frequency - 1 + k) * (6.0 + frequency - 1 + k) / ((1.4 + 6.0 + frequency - 2 + k) * (k + 1)) * (90 / (300 + "T" + 90))) l FROM ps, range(2500) r(k)),
+lp AS (SELECT customer_id, (1.5 + frequency - 1) * ln((300 + "T") / (300 + "T" + 90)) w FROM ps),
+hs AS (SELECT customer_id, ANY_VALUE(exp(w)) + SUM(exp(s + w)) h FROM (SELECT customer_id, SUM(l) OVER (PARTITION BY customer_id ORDER BY k) s FROM hg) JOIN lp USING (customer_id) GROUP BY 1),
+tx AS (SELECT ps.*, GREATEST(0, (1.4 + 6.0 + frequency - 2) / 0.4 * (1 - h) / (1 + {_ODDS})) AS expected_transactions FROM ps JOIN hs USING (customer_id)),
 vl AS (SELECT *, 4.0 * (150000 + frequency * monetary_value) / (4.0 * frequency + 2.5) AS expected_monetary_value FROM tx), cv AS (SELECT *, expected_transactions * expected_monetary_value AS clv FROM vl),
 qt AS (SELECT quantile_cont(clv, 0.25) a, quantile_cont(clv, 0.5) b, quantile_cont(clv, 0.75) c FROM cv)
 """

@@ -6,6 +6,7 @@ from marketloom.operators import quality as ops
 from marketloom.operators import sales
 from marketloom.plans.registry import query
 from marketloom.sources import io
+from marketloom.sources.commerce import ORDER_COLUMNS, PRODUCT_COLUMNS
 
 _ORDER_SPEC = "order_id:i customer_id:i order_date:t order_status:s order_total:d2"
 _ORDER_DDL = "order_id BIGINT, customer_id BIGINT, order_date DATE, order_status STRING, order_total DECIMAL(14,2)"
@@ -247,7 +248,15 @@ query("dq21_quality_score", "data_name:s n_rows:i n_columns:i n_null_values:i co
       f"""WITH s AS (SELECT COUNT(*) n, {_CELLS} z, COUNT(DISTINCT order_id) / COUNT(*) u FROM ord)
 SELECT 'orders' AS data_name, n AS n_rows, 7 AS n_columns, z AS n_null_values, 1 - z / (n * 7) AS completeness_score, u AS uniqueness_score, 1 AS validity_score, 1 AS freshness_score, (1 - z / (n * 7)) * 0.3 + u * 0.2 + 0.5 AS overall_score FROM s""")(
     lambda c: ops.quality_score(c.orders.select(*_OC), "orders"))
-query("dq22_content_hash", "dataset_name:s n_rows:i n_columns:i content_hash:s")(lambda c: _versions(c))
+def _hash_sql(name: str, table: str, columns: list[str]) -> str:
+    value = lambda c: f"COALESCE(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    sums = " || '|' || ".join(f"CAST(SUM(CAST(CAST('0x' || substr(h, {16 * i + 1}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4))
+    row = " || ".join(value(c) for c in columns)
+    return f"SELECT '{name}' AS dataset_name, COUNT(*) AS n_rows, {len(columns)} AS n_columns, sha256('{','.join(columns)}' || '|' || CAST(COUNT(*) AS VARCHAR) || '|' || {sums}) AS content_hash FROM (SELECT sha256({row}) AS h FROM {table})"
+
+
+query("dq22_content_hash", "dataset_name:s n_rows:i n_columns:i content_hash:s",
+      " UNION ALL ".join(_hash_sql(n, t, list(cols)) for n, t, cols in (("orders", "ord", ORDER_COLUMNS), ("products", "prod", PRODUCT_COLUMNS), ("orders", "vord", ORDER_COLUMNS))))(lambda c: _versions(c))
 query("dq23_compare_versions", "dataset_name:s rows_old:i rows_new:i rows_diff:i rows_added:i rows_removed:i columns_added:s columns_removed:s type_changes:s",
       "SELECT 'orders' AS dataset_name, COUNT(*) FILTER (order_date < DATE '2001-01-01') AS rows_old, COUNT(*) AS rows_new, COUNT(*) FILTER (order_date >= DATE '2001-01-01') AS rows_diff, COUNT(*) FILTER (order_date >= DATE '2001-01-01') AS rows_added, "
       "0 AS rows_removed, 'tax_amount' AS columns_added, 'store_id' AS columns_removed, 'order_total' AS type_changes FROM ord")(

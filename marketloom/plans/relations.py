@@ -206,10 +206,10 @@ def analyzed(c):
 
 query("x1_extract_aspects", "review_id:i aspect:s hits:i", _AN + "SELECT * FROM asp")(lambda c: reviews.extract_aspects(c.reviews, keywords=WORDS).select("review_id", F.explode("aspects").alias("aspect", "hits")))
 query("x2_aspect_aggregates", "aspect:s mention_count:i positive_pct:d6 negative_pct:d6 neutral_pct:d6",
-      _AN + "SELECT aspect, COUNT(*) AS mention_count, COUNT(*) FILTER (overall_sentiment = 'POSITIVE') / COUNT(*) AS positive_pct, COUNT(*) FILTER (overall_sentiment = 'NEGATIVE') / COUNT(*) AS negative_pct, 0 AS neutral_pct FROM asp GROUP BY 1")(lambda c: reviews.aspect_aggregates(analyzed(c)))
+      _AN + "SELECT aspect, COUNT(*) AS mention_count, COUNT(*) FILTER (overall_sentiment = 'POSITIVE') / COUNT(*) AS positive_pct, COUNT(*) FILTER (overall_sentiment = 'NEGATIVE') / COUNT(*) AS negative_pct, COUNT(*) FILTER (overall_sentiment = 'NEUTRAL') / COUNT(*) AS neutral_pct FROM asp GROUP BY 1")(lambda c: reviews.aspect_aggregates(analyzed(c)))
 query("x3_sentiment_trend", "review_date:t mean_sentiment:d6 std_sentiment:d6 n_reviews:i mean_sentiment_score:d6",
-      _AN + "SELECT review_date, AVG(CASE overall_sentiment WHEN 'POSITIVE' THEN 1 ELSE -1 END) AS mean_sentiment, STDDEV_SAMP(CASE overall_sentiment WHEN 'POSITIVE' THEN 1 ELSE -1 END) AS std_sentiment, COUNT(*) AS n_reviews, AVG(sentiment_score) AS mean_sentiment_score FROM an GROUP BY 1")(lambda c: reviews.sentiment_trend(analyzed(c)))
-_SUM = "COUNT(*) AS total_reviews, AVG(sentiment_score) AS avg_sentiment_score, COUNT(*) FILTER (overall_sentiment = 'POSITIVE') AS positive, COUNT(*) FILTER (overall_sentiment = 'NEGATIVE') AS negative, 0 AS neutral, 100.0 * COUNT(*) FILTER (overall_sentiment = 'POSITIVE') / COUNT(*) AS positive_percentage"
+      _AN + "SELECT review_date, AVG(CASE overall_sentiment WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN -1 ELSE 0 END) AS mean_sentiment, STDDEV_SAMP(CASE overall_sentiment WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN -1 ELSE 0 END) AS std_sentiment, COUNT(*) AS n_reviews, AVG(sentiment_score) AS mean_sentiment_score FROM an GROUP BY 1")(lambda c: reviews.sentiment_trend(analyzed(c)))
+_SUM = "COUNT(*) AS total_reviews, AVG(sentiment_score) AS avg_sentiment_score, COUNT(*) FILTER (overall_sentiment = 'POSITIVE') AS positive, COUNT(*) FILTER (overall_sentiment = 'NEGATIVE') AS negative, COUNT(*) FILTER (overall_sentiment = 'NEUTRAL') AS neutral, 100.0 * COUNT(*) FILTER (overall_sentiment = 'POSITIVE') / COUNT(*) AS positive_percentage"
 _SUM_SPEC = "total_reviews:i avg_sentiment_score:d6 positive:i negative:i neutral:i positive_percentage:d4"
 query("x4_review_summary", _SUM_SPEC, _AN + f"SELECT {_SUM} FROM an")(lambda c: reviews.review_summary(analyzed(c)))
 query("x5_key_issues", "aspect:s mention_count:i severity:s", _AN + "SELECT aspect, COUNT(*) AS mention_count, CASE WHEN COUNT(*) > 10 THEN 'high' ELSE 'medium' END AS severity FROM asp WHERE overall_sentiment = 'NEGATIVE' GROUP BY 1 HAVING COUNT(*) >= 5")(lambda c: reviews.key_issues(analyzed(c)))

@@ -97,7 +97,7 @@ PRODUCT_COLUMNS = {
     "brand_name": "p_brand",
     "category_name": "p_type",
     "subcategory": "p_type || ' ' || CAST(p_size % 3 AS VARCHAR(10))",
-    "supplier_id": "p_partkey % 10",
+    "supplier_id": "p_partkey % n_suppliers",
     "selling_price": "CAST(p_retailprice AS DECIMAL(12,2))",
     "cost_price": "CAST(ROUND(CAST(p_retailprice AS DECIMAL(12,2)) * CAST(0.7 AS DECIMAL(2,1)), 2) AS DECIMAL(12,2))",
     "launch_date": "DATE '1995-01-01' + CAST(p_partkey % 365 AS INT)",
@@ -226,7 +226,7 @@ class Commerce:
 
     @cached_property
     def products(self) -> DataFrame:
-        return _project(self.raw("part"), PRODUCT_COLUMNS)
+        return _project(self.raw("part").withColumn("n_suppliers", self.raw("supplier").agg(F.count(F.lit(1))).scalar()), PRODUCT_COLUMNS)
 
     @cached_property
     def returns(self) -> DataFrame:
@@ -317,15 +317,16 @@ class Commerce:
 
     @cached_property
     def reviews(self) -> DataFrame:
+        """Every text is a review; only labelled ones have a rating."""
         n_part = self.raw("part").agg(F.count(F.lit(1))).scalar()
         n_cust = self.raw("customer").agg(F.count(F.lit(1))).scalar()
-        return self.raw("documents").join(self.raw("labels"), "doc_id").select(
+        return self.raw("documents").join(self.raw("labels"), "doc_id", "left").select(
             F.col("doc_id").alias("review_id"),
             F.col("text").alias("review_text"),
             (F.col("doc_id") % n_part).alias("product_id"),
             (F.col("doc_id") % n_cust).alias("customer_id"),
             F.date_sub(F.lit(AS_OF), (F.col("doc_id") % 365).cast("int")).alias("review_date"),
-            F.when(F.col("quality") == 1, 5).otherwise(2).alias("rating"),
+            F.when(F.col("quality") == 1, 5).when(F.col("quality").isNotNull(), 2).alias("rating"),
         )
 
 

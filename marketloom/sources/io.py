@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -60,12 +61,14 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch_
 
 
 def run_jobs(jobs: Mapping[str, Callable[[], DataFrame]], base: str, partition_by: Mapping[str, tuple[str, ...]] | None = None) -> list[str]:
-    """Write one parquet result per job; a job whose inputs are missing is skipped."""
+    """Write one parquet result per job; a job whose input path or table is missing is skipped, any other error is raised."""
     written = []
     for name, job in jobs.items():
         try:
             df = job()
-        except (FileNotFoundError, KeyError):
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+                raise
             continue
         write_table(df, f"{base}/{name}", partition_by=(partition_by or {}).get(name, ()))
         written.append(name)

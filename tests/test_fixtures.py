@@ -267,3 +267,107 @@ def test_correlation_of_a_constant_side_is_null(spark):
     df = spark.createDataFrame([("flat", 1.0, 5.0), ("flat", 2.0, 5.0), ("up", 1.0, 2.0), ("up", 2.0, 4.0), ("up", None, 9.0)], "g string, a double, b double")
     got = {r["g"]: r["c"] for r in df.groupBy("g").agg(correlation("a", "b").alias("c")).collect()}
     assert got["flat"] is None and got["up"] == pytest.approx(1.0)
+
+
+# --- no caps -------------------------------------------------------------------
+
+
+def test_expected_purchases_of_heavy_customers(spark):
+    """The usual series in logarithms, far past its peak, gives the same; few purchases agree as well."""
+    import math
+
+    from marketloom.operators import clv
+
+    p = {"r": 1.5, "alpha": 300.0, "a": 1.4, "b": 6.0}
+    rows = [(n, 2395, 2400) for n in (1, 2, 40, 1000, 2500, 20_000)]
+    df = spark.createDataFrame(rows, "frequency long, recency long, T long")
+    for days in (90, 365):
+        for r in clv.predict_transactions(df, p, days).collect():
+            x = r.frequency - 1
+            z = days / (p["alpha"] + r.T + days)
+            a, b, c = p["r"] + x, p["b"] + x, p["a"] + p["b"] + x - 1
+            log_term, total = a * math.log(1 - z), 0.0
+            for j in range(60_000):
+                total += math.exp(log_term)
+                log_term += math.log((a + j) * (b + j) / ((c + j) * (j + 1)) * z)
+            odds = math.exp(math.log(p["a"] / (p["b"] + x - 1)) + (p["r"] + x) * math.log((p["alpha"] + r.T) / (p["alpha"] + r.recency))) if x else 0.0
+            want = c / (p["a"] - 1) * (1 - total) / (1 + odds)
+            assert math.isclose(r.expected_transactions, max(0.0, want), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_long_chains_are_followed_to_the_end(spark):
+    from pyspark.sql import functions as F
+
+    from marketloom.operators import graph
+
+    n = 60
+    pairs = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.label for r in graph.connected_components(pairs).collect()} == {0}
+    edges = spark.range(n // 2).select(F.concat(F.lit("n"), "id").alias("source"), F.concat(F.lit("n"), F.col("id") + 1).alias("target"), F.concat(F.lit("t"), "id").alias("transformation"))
+    start = spark.createDataFrame([("n0",)], "node string")
+    assert graph.closure(edges, start).agg(F.max("depth")).first()[0] == n // 2
+    assert graph.trace_flow(edges, "n0").agg(F.max(F.size("path"))).first()[0] == n // 2
+
+
+def test_alerts_of_other_categories_get_a_general_review(spark):
+    from marketloom.operators import decisions
+
+    alerts = spark.createDataFrame([(1, "WEATHER", "storm", "HIGH", 50, 1000.0, 20)], "alert_rank int, category string, subject string, priority string, priority_score int, impact_revenue_inr double, impact_customers long")
+    row = decisions.alert_recommendations(alerts).collect()
+    assert [(r.recommendation, r.estimated_impact_pct, r.estimated_revenue_impact_inr) for r in row] == [("General review", 10.0, 100.0)]
+
+
+def test_negatives_do_not_depend_on_ids(spark):
+    from pyspark.sql import functions as F
+
+    from marketloom.operators import recommend
+
+    products = spark.range(40).select((F.col("id") * 1_000_003 + 17).alias("product_id"), F.lit("c").alias("category_name"), F.lit(1.0).alias("selling_price"))
+    counts = spark.range(200).select((F.col("id") % 20).alias("customer_id"), ((F.col("id") % 37) * 1_000_003 + 17).alias("product_id"), F.lit(1).cast("long").alias("n")).distinct()
+    rfm = spark.range(20).select(F.col("id").alias("customer_id"), F.lit(1).alias("frequency"))
+    out = recommend.ranking_data(counts, counts, rfm, products, rfm)
+    negatives = out.filter("interaction_count = 0").count()
+    assert negatives > 0.5 * counts.count()
+
+
+def test_content_hash_tells_nulls_and_lengths_apart(spark):
+    from marketloom.operators import quality
+
+    h = lambda *rows: quality.content_hash(spark.createDataFrame(rows, "a string, b string"), "t").first()["content_hash"]
+    assert len({h((None, "a")), h(("a", None)), h(("a", "")), h(("", "a")), h(("1:a", "-")), h(("a", "a"), (None, None))}) == 6
+
+
+def test_jobs_hide_no_errors(spark, tmp_path):
+    import pytest
+
+    from marketloom.sources import io
+
+    good = lambda: spark.range(3)
+    assert io.run_jobs({"missing": lambda: spark.read.parquet(f"{tmp_path}/none"), "good": good}, str(tmp_path)) == ["good"]
+    with pytest.raises(KeyError):
+        io.run_jobs({"bug": lambda: {}["x"]}, str(tmp_path))
+
+
+def test_tied_events_of_a_day(spark):
+    """Efron's sums over one day with many ties, against the plain loop."""
+    import numpy as np
+
+    from marketloom.operators import survival
+
+    rng = np.random.default_rng(5)
+    rows = [(int(t), int(e), float(z)) for t, e, z in zip(rng.integers(1, 4, 300), rng.random(300) < 0.6, rng.standard_normal(300))]
+    got = survival.fit_cox(spark.createDataFrame(rows, "duration int, event int, z double"), ["z"]).first()
+    t, e, z = (np.array(c, float) for c in zip(*rows))
+
+    def slope(b):
+        total = 0.0
+        for day in np.unique(t):
+            r = np.exp(b * z)
+            dead, risk = (t == day) & (e == 1), t >= day
+            d = int(dead.sum())
+            total += z[dead].sum()
+            for k in range(d):
+                total -= ((r * z)[risk].sum() - k / d * (r * z)[dead].sum()) / (r[risk].sum() - k / d * r[dead].sum())
+        return total
+
+    assert abs(slope(got.coefficient)) < 1e-6
