@@ -38,6 +38,8 @@ SEGMENTS = (22, 21, 21)
 #: Generator polynomial of the binary (23, 12) Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 LENGTH, CHECK_BITS, REACH = 23, 11, 4
+#: Bytes of text whose shingles a task unfolds to bits at a time.
+SLICE = 1 << 20
 #: Keys with at most so many classes compare them in pairs; others take the exact way without pairs.
 PAIR_LIMIT = 32
 
@@ -75,7 +77,7 @@ def fingerprints_of(texts: list[bytes], size: int = 3) -> np.ndarray:
 
 
 def _fingerprint_batches(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for part in split_batches(batches, "text"):
+    for part in split_batches(batches, "text", SLICE):
         found = fingerprints_of(encoded(part.column(1)), size)
         yield pa.record_batch([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
