@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time in a task.  One longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -25,8 +28,25 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 def split_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from slices(batch, column, limit)
+    try:
+        for batch in batches:
+            yield from slices(batch, column, limit)
+    finally:
+        # a worker lives on for other tasks: it gives back what this one needed
+        pa.default_memory_pool().release_unused()
+        _trim()
+
+
+@lru_cache
+def _libc():
+    name = ctypes.util.find_library("c")
+    return ctypes.CDLL(name) if name else None
+
+
+def _trim() -> None:
+    """Return freed heap to the system where the C library can."""
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
 
 
 def texts_of(column: pa.Array) -> list[str]:
