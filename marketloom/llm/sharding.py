@@ -134,7 +134,9 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     large = F.col("n") > max(1, total // (8 * shards))
     first = propagate(laid_out(linked.filter(large), quotas, few=True), quotas)
     left = [q - h for q, h in zip(quotas, _held(first, shards))]
-    placed = first.union(propagate(laid_out(linked.filter(~large), left), left))
+    # the cast also keeps the union from inheriting its parts' partitioning, which the planner cannot resolve
+    plain = lambda p: p.select("_group", F.col("shard").cast("long").alias("shard"), "n")
+    placed = plain(first).union(plain(propagate(laid_out(linked.filter(~large), left), left)))
     held = _held(placed, shards)
     # members of a group take its shards in order; a group's places are a row per shard at most
     inside = W.partitionBy("_group").orderBy("shard")
