@@ -78,14 +78,19 @@ def fingerprints_of(texts: list[bytes], size: int = 3) -> np.ndarray:
 
 def _fingerprint_batches(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for part in split_batches(batches, "text", SLICE):
-        found = fingerprints_of(encoded(part.column(1)), size)
-        yield pa.record_batch([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = fingerprints_of(encoded(part.column(2)), size)
+        yield pa.record_batch([part.column(0), part.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, ``text_hash`` and text of every row; the first two tell rows apart whose doc_id is null or repeats."""
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long, of every row."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _fingerprint_batches(it, size), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    """doc_id, ``text_hash`` and ``fp``, the fingerprint as a signed long, of every row."""
+    return hashed(docs).mapInArrow(lambda it: _fingerprint_batches(it, size), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fp bigint")
 
 
 # --- Golay keys --------------------------------------------------------------
@@ -176,13 +181,25 @@ def hexed(fp: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, with the columns it came with.
+def one_of_each(docs: DataFrame, marked: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row of ``docs`` per component, with the columns it came with: the smallest (doc_id, text hash), null doc_ids last.
 
-    Rows that repeat a doc_id are copies: one of them stays.
+    ``marked`` has ``doc_id``, ``text_hash`` and ``node`` of every row; ``labels`` has the ``label`` of the nodes that have
+    links.  A row is named by its doc_id and its text, so rows without a doc_id, or with a repeated one, are judged each
+    on its own; rows equal in both are copies.
     """
-    kept = components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"])).drop("_kept")
-    once = found.filter("_rows = 1").drop("_rows")
-    return once.unionByName(found.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id"]))
+    named = marked.groupBy("node", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "text_hash", "_rows")
+    first = named.groupBy("node").agg(F.min(order).alias("first")).join(labels, "node", "left")
+    heads = first.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("h"))
+    kept = heads.select(F.col("h.doc_id").alias("_id"), F.col("h.text_hash").alias("_hash"), F.col("h._rows").alias("_rows"))
+    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["_hash"]))
+    once = found.filter("_rows = 1").select(*docs.columns)
+    return once.unionByName(found.filter("_rows > 1").dropDuplicates(["_id", "_hash"]).select(*docs.columns))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each component: see ``one_of_each``."""
+    marked = materialize(fingerprints(docs).withColumnRenamed("fp", "node"))
+    labels = connected_components(links(marked.select(F.col("node").alias("fp")).distinct()))
+    return one_of_each(docs, marked, labels)

@@ -91,3 +91,10 @@ def test_representatives(spark):
     assert out.columns == df.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["3", "9", "None"]
     assert simhash.components(df.limit(0)).count() == 0
+
+
+def test_representatives_are_rows_not_ids(spark):
+    rows = [(None, "alone again or not", "a"), (None, "another text without any id", "b"), (None, "alone again or not", "c"), (7, "first text under this id", "d"), (7, "some second text under that id", "e"), (9, "first text under this id", "f"), (None, None, "g")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, extra string")
+    out = [(r.doc_id, r.text) for r in simhash.representatives(df).collect()]
+    assert sorted(out, key=str) == sorted([(None, "alone again or not"), (None, "another text without any id"), (None, None), (7, "first text under this id"), (7, "some second text under that id")], key=str)
