@@ -94,6 +94,17 @@ SELECT customer_id, clv AS probabilistic_clv, m AS ml_clv, hv AS historical_clv,
         c.valid_orders.filter("order_date > DATE '2000-08-01'").groupBy("customer_id").agg(F.sum("order_total").cast("double").alias("value")),
         c.valid_orders.filter("order_date <= DATE '2000-08-01'").groupBy("customer_id").agg(F.sum("order_total").cast("double").alias("value"))))
 
+
+def _estimates(c):
+    """The fitted models over the same 365 days, for every customer with a purchase summary."""
+    bought, learned = summary(c), _learned(c)
+    expected = clv.predict_value(bought, clv.fit_purchase_model(bought), clv.fit_spend_model(bought), 365)
+    return clv.compare_approaches(*(df.select("customer_id", F.col(name).alias("value")) for df, name in ((expected, "clv"), (learned, "predicted_clv"), (learned, "historical_clv"))))
+
+
+#: The SQL of l15_compare_approaches checks the arithmetic with real later revenue in place of a model; this one compares the models.
+query("l15_compare_estimates", "customer_id:i probabilistic_clv:d2 ml_clv:d2 historical_clv:d2 probabilistic_vs_historical:d4 ml_vs_historical:d4 ml_vs_probabilistic:d4 approach_agreement:i")(_estimates)
+
 # --- churn -------------------------------------------------------------------
 
 SEEN = dt.date(2001, 5, 3)
