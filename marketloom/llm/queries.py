@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import ann, bpe, metric_join, packing, quality, sharding, simhash, substring, url_filter, warc
+from marketloom.llm import ann, bpe, metric_join, packing, quality, sharding, simhash, substring, url_filter, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first sixteen components, whitened."""
+    rows = whitening.whitened(table(spark, sf_dir, "embeddings"), components=16)
+    return rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "v")).select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "v.whitened", "v.explained", "identity_error")

@@ -28,4 +28,4 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 def list_array(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Rows of a matrix as a list column."""
     n, dim = rows.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)), pa.array(rows.ravel(), kind))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(dim)), pa.array(rows.ravel(), kind))
