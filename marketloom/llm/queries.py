@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import ann, bpe, metric_join, packing, pieces, quality, sharding, simhash, substring, url_filter, warc, whitening
+from marketloom.llm import ann, bpe, dialogue, metric_join, packing, pieces, quality, sharding, simhash, substring, url_filter, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,6 +126,13 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults and the cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    return dialogue.repair(dialogue.damaged(rows), rows)
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the first sixteen components, whitened."""
