@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -68,3 +68,56 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     for k in keys:
         change |= k[1:] != k[:-1]
     return np.r_[0, np.flatnonzero(change) + 1, n]
+
+
+class Memo:
+    """Values of the keys met lately, computed in bulk where they are missing.
+
+    Two generations of half of ``limit`` each: when the young one is full, the old one goes and its keys that are
+    met again come back.  Keys longer than ``longest`` are not kept.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int, longest: int):
+        self.compute, self.limit, self.longest = compute, limit, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def rows(self, rows: list[list[str]]) -> list[list[bytes]]:
+        """The values of each row's keys: one look at each key, a second at those that were missing."""
+        if len(self.young) > self.limit // 2:
+            self.young, self.old = {}, self.young
+        get = self.young.get
+        out = [list(map(get, keys)) for keys in rows]
+        gaps = [(keys, found, [i for i, v in enumerate(found) if v is None]) for keys, found in zip(rows, out) if None in found]
+        new = self.learn({keys[i] for keys, _, at in gaps for i in at})
+        young = self.young
+        for keys, found, at in gaps:
+            for i in at:
+                found[i] = young[keys[i]]
+        for key in new:
+            if len(key) > self.longest:
+                del young[key]
+        return out
+
+    def learn(self, missing: set[str]) -> list[str]:
+        """Put the values of ``missing`` into the young generation; the keys that had to be computed."""
+        young, old = self.young, self.old
+        young.update((k, old[k]) for k in missing if k in old)
+        new = [k for k in missing if k not in young]
+        young.update(zip(new, self.compute(new)))
+        return new
+
+
+#: Marks that often end a word.
+TAILS = frozenset(".,;:!?")
+_LATIN = chr(0x250)
+
+
+def is_word(chunk: str) -> bool:
+    """Whether a chunk is Latin letters only."""
+    return chunk.isalpha() and (chunk.isascii() or max(chunk) < _LATIN)
+
+
+def word_and_tail(chunk: str) -> bool:
+    """Whether a chunk is Latin letters and one mark."""
+    return chunk[-1:] in TAILS and is_word(chunk[:-1])

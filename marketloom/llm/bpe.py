@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from marketloom.llm.batches import split_batches, texts_of
+from marketloom.llm.batches import TAILS, Memo, is_word, split_batches, texts_of, word_and_tail
 
 #: Chunks kept by a worker, and the longest chunk that is kept.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 800_000
 MEMO_LENGTH = 48
 #: A space before white space or the end belongs to a longer match: such texts are cut with care.
 _RISKY = ("  ", " \n", " \t", " \r", " \v", " \f")
@@ -49,6 +49,11 @@ def byte_characters() -> tuple[str, ...]:
     return tuple(chr(b) if b in own else chr(next(rest)) for b in range(256))
 
 
+def _byte_level(text: str) -> str:
+    """A text as the characters that stand for its bytes."""
+    return text.encode().decode("latin-1").translate(_BYTES)
+
+
 def rank_tokens(path: str) -> list[bytes]:
     """The tokens of a rank file by their id."""
     ranks = {}
@@ -84,18 +89,44 @@ def tokenizer_from_json(path: str) -> Tokenizer:
     return out
 
 
+_BYTES = dict(enumerate(byte_characters()))
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk, each distinct chunk once."""
 
     def __init__(self, tokenizer: Tokenizer, limit: int = MEMO_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.limit = tokenizer, limit
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.tokenizer = tokenizer
+        # where a word is one match and a mark behind it another, words go to the model without splitting, and without the mark
+        matches = lambda t: [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(f" wörd{t} a")]
+        plain = all(matches(t) == [_byte_level(" wörd"), t, _byte_level(" a")] for t in TAILS)
+        self.tails = dict(zip(TAILS, self._ids(list(TAILS)))) if plain else {}
+        self.model = tokenizer.model
+        self.memo = Memo(self._learned, limit, MEMO_LENGTH)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_behind_space(self, chunks: list[str]) -> list[bytes]:
+        if not self.tails:
+            return self._ids([" " + c for c in chunks])
+        tokenize, words = self.model.tokenize, list(map(is_word, chunks))
+        others = iter(self._ids([" " + c for c, word in zip(chunks, words) if not word]))
+        return [array("I", [t.id for t in tokenize(_byte_level(" " + c))]).tobytes() if word else next(others) for c, word in zip(chunks, words)]
+
+    def _learned(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks behind a space."""
+        bare = [c[:-1] if self.tails and word_and_tail(c) else c for c in chunks]
+        known = self.memo.young
+        some = list({c for c in bare if c not in known})
+        known.update(zip(some, self._ids_behind_space(some)))
+        out = [known[c] for c in bare]
+        for c in some:
+            if len(c) > MEMO_LENGTH:
+                del known[c]
+        return [ids if c is whole else ids + self.tails[whole[-1]] for whole, c, ids in zip(chunks, bare, out)]
+
     @staticmethod
     def cut(text: str) -> list[str]:
         """The chunks of a text, all but the first without the space before them."""
@@ -107,20 +138,8 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         chunks = [self.cut(t) for t in texts]
-        starts = self._ids([c[0] for c in chunks])
-        rest = [c[1:] for c in chunks]
-        if len(self.memo) > self.limit // 2:
-            self.memo, self.older = {}, self.memo
-        memo, older = self.memo, self.older
-        missing = set().union(*(set(c).difference(memo) for c in rest))
-        memo.update((c, older[c]) for c in missing if c in older)
-        new = [c for c in missing if c not in memo]
-        memo.update(zip(new, self._ids([" " + c for c in new])))
-        out = [a + b"".join(map(memo.__getitem__, c)) for a, c in zip(starts, rest)]
-        for c in new:
-            if len(c) > MEMO_LENGTH:
-                del memo[c]
-        return out
+        starts = self._ids([c.pop(0) for c in chunks])
+        return [a + b"".join(found) for a, found in zip(starts, self.memo.rows(chunks))]
 
 
 @lru_cache

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from marketloom.llm.batches import split_batches, texts_of
+from marketloom.llm.batches import TAILS, Memo, split_batches, texts_of, word_and_tail
 
 SPACE = "▁"
 #: Pieces, and tested pairs, kept by a worker; the longest piece that is kept.
@@ -111,7 +111,7 @@ class Encoder:
     """Encodes and decodes with one model; keeps tables of bounded size."""
 
     def __init__(self, path: str, pieces: int = MEMO_PIECES, pairs: int = MEMO_PAIRS):
-        self.model, self.max_pieces, self.max_pairs = Model(path), pieces, pairs
+        self.model, self.max_pairs = Model(path), pairs
         # a token travels as (id << size_bits | length)
         self.size_bits = max(map(len, self.model.ids)).bit_length()
         self.bits = self.size_bits + len(self.model.decoded).bit_length()
@@ -123,8 +123,10 @@ class Encoder:
                 self.automaton.add_word(t, i << self.size_bits | len(t))
         self.automaton.make_automaton()
         self.pairs = Pairs(self.model, strings, self.bits)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # marks that no token has behind a letter: a word is looked up without them
+        after_letters = {b for t in self.model.ids for a, b in zip(t, t[1:]) if a.isalpha()}
+        self.tails = dict(zip(marks := sorted(TAILS - after_letters), self._encoded(marks)))
+        self.memo = Memo(self._learned, pieces, MEMO_LENGTH)
         self.byteless = {i for i, d in enumerate(self.model.decoded) if not d}
 
     def last_tokens(self, text: str) -> list[int]:
@@ -178,20 +180,20 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers."""
-        cut = [self.cut(t) for t in texts]
-        if len(self.memo) > self.max_pieces // 2:
-            self.memo, self.older = {}, self.memo
-        memo, older = self.memo, self.older
-        missing = set().union(*(set(c).difference(memo) for c in cut))
-        memo.update((c, older[c]) for c in missing if c in older)
-        new = [c for c in missing if c not in memo]
+        return [b"".join(found) for found in self.memo.rows([self.cut(t) for t in texts])]
+
+    def _learned(self, cut: list[str]) -> list[bytes]:
+        """Ids of pieces behind the mark that each starts with."""
         front = SPACE if self.model.dummy_prefix else ""
-        memo.update(zip(new, self._encoded([front + c for c in new])))
-        out = [b"".join(map(memo.__getitem__, c)) for c in cut]
-        for c in new:
+        bare = [c[:-1] if c[-1:] in self.tails and word_and_tail(c) else c for c in cut]
+        known = self.memo.young
+        some = list({c for c in bare if c not in known})
+        known.update(zip(some, self._encoded([front + c for c in some])))
+        out = [known[c] for c in bare]
+        for c in some:
             if len(c) > MEMO_LENGTH:
-                del memo[c]
-        return out
+                del known[c]
+        return [ids if c is whole else ids + self.tails[whole[-1]] for whole, c, ids in zip(cut, bare, out)]
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the text that the ids stand for; each byte that is part of no character becomes U+FFFD."""
