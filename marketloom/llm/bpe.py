@@ -29,7 +29,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 from marketloom.llm.batches import TAILS, Memo, is_word, split_batches, texts_of, word_and_tail
 
 #: Chunks kept by a worker, and the longest chunk that is kept.
-MEMO_CHUNKS = 800_000
+MEMO_CHUNKS = 1_200_000
 MEMO_LENGTH = 48
 #: A space before white space or the end belongs to a longer match: such texts are cut with care.
 _RISKY = ("  ", " \n", " \t", " \r", " \v", " \f")
