@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.shared import materialize
 from marketloom.llm.batches import runs
-from marketloom.llm.vectors import hashed, list_array, matrix, usable
+from marketloom.llm.vectors import hashed, list_array, matrix, scaled, usable
 from marketloom.operators.graph import connected_components
 
 PER_PIVOT = 4000
@@ -251,6 +251,6 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
         "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("label", "node").alias("component_id"))
     vec = F.col(vec_col).cast("array<double>")
     links = F.col(id_col).isNotNull() & usable(vec)
-    all_rows = df.select(F.col(id_col).alias("vec_id"), F.when(links, F.xxhash64(vec)).alias("h1"), F.when(links, F.xxhash64(F.lit(1), vec)).alias("h2"))
+    all_rows = df.select(F.col(id_col).alias("vec_id"), F.when(links, F.xxhash64(scaled(vec))).alias("h1"), F.when(links, F.xxhash64(F.lit(1), scaled(vec))).alias("h2"))
     own = F.coalesce(F.col("component_id").cast(kind), F.col("vec_id"))
     return all_rows.join(known, ["h1", "h2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))

@@ -193,9 +193,11 @@ def one_of_each(docs: DataFrame, marked: DataFrame, labels: DataFrame) -> DataFr
     first = named.groupBy("node").agg(F.min(order).alias("first")).join(labels, "node", "left")
     heads = first.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("h"))
     kept = heads.select(F.col("h.doc_id").alias("_id"), F.col("h.text_hash").alias("_hash"), F.col("h._rows").alias("_rows"))
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["_hash"]))
-    once = found.filter("_rows = 1").select(*docs.columns)
-    return once.unionByName(found.filter("_rows > 1").dropDuplicates(["_id", "_hash"]).select(*docs.columns))
+    # a row travels as one struct: no column of ``docs`` can clash with a name used here
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    found = rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    once = found.filter("_rows = 1").select("_row.*")
+    return once.unionByName(found.filter("_rows > 1").dropDuplicates(["_id", "_hash"]).select("_row.*"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -169,14 +169,18 @@ def _first_of(*keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np
     return order, (d == d[lead]) & (s == s[lead])
 
 
+def _hashes(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    return batch.column(column).to_numpy(zero_copy_only=False)
+
+
 def _salt(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return _mix(doc.astype(np.uint64) * np.uint64(_WORD) + start.astype(np.uint64))
 
 
 def _anchor_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in split_batches(batches, "text"):
-        docs, crc = _numbers(part.column(0)), part.column(1).to_numpy(zero_copy_only=False)
-        words, of, before = _words_of(encoded(part.column(2)))
+        docs, h1, h2 = _numbers(part.column(0)), _hashes(part, 1), _hashes(part, 2)
+        words, of, before = _words_of(encoded(part.column(3)))
         row, first, count, anchor, span = anchors(words, of)
         if not len(row):
             continue
@@ -186,15 +190,15 @@ def _anchor_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         # known repeats need no comparison: they are dealt anywhere
         key = np.where(lead, anchor, _salt(docs[row], start))
         yield pa.record_batch([
-            pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array(docs[row]), pa.array(crc[row]),
-            pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(~lead)], ["key", "span", "doc", "crc", "start", "n", "known"])
+            pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array(docs[row]), pa.array(h1[row]), pa.array(h2[row]),
+            pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(~lead)], ["key", "span", "doc", "h1", "h2", "start", "n", "known"])
 
 
-_MARK = ["doc", "crc", "start", "n", "repeated"]
+_MARK = ["doc", "h1", "h2", "start", "n", "repeated"]
 
 
-def _marks(doc, crc, start, n, repeated) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(doc), pa.array(crc), pa.array(start), pa.array(n), pa.array(repeated)], _MARK)
+def _marks(doc, h1, h2, start, n, repeated) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c) for c in (doc, h1, h2, start, n, repeated)], _MARK)
 
 
 def _compare_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +210,8 @@ def _compare_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
     held = None  # leading rows of the last span; all of them until another span of the anchor comes
     several = False  # the anchor of ``held`` has shown several spans, and ``held`` is already marked
     for b in batches:
-        known = b.column(6).to_numpy(zero_copy_only=False)
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:6]]
+        known = b.column(7).to_numpy(zero_copy_only=False)
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:7]]
         if known.any():
             yield _marks(*[c[known] for c in cols[2:]], np.ones(int(known.sum()), bool))
             cols = [c[~known] for c in cols]
@@ -216,7 +220,7 @@ def _compare_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         n_held = 0 if held is None else len(held[0])
         if n_held:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-        key, span, doc, crc, start, n = cols
+        key, span, doc, _, _, start, n = cols
         at = runs(key, span)
         lead_at = np.repeat(at[:-1], np.diff(at))
         lead = (doc == doc[lead_at]) & (start == start[lead_at])
@@ -242,12 +246,12 @@ def _compare_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _window_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of the marked spans; of those that are equal in a batch only the first is still to compare."""
     for part in split_batches(batches, "text"):
-        part = part.filter(pc.is_valid(part.column(3)))
+        part = part.filter(pc.is_valid(part.column(4)))
         if not part.num_rows:
             continue
-        docs, crc = _numbers(part.column(0)), part.column(1).to_numpy(zero_copy_only=False)
-        words, _, before = _words_of(encoded(part.column(2)))
-        marks = part.column(3)
+        docs, h1, h2 = _numbers(part.column(0)), _hashes(part, 1), _hashes(part, 2)
+        words, _, before = _words_of(encoded(part.column(3)))
+        marks = part.column(4)
         flat = marks.flatten()
         row = np.repeat(np.arange(part.num_rows), np.diff(marks.offsets.to_numpy()))
         first, n = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -259,31 +263,31 @@ def _window_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         row, start, one, two = row[order], start[order], one[order], two[order]
         key = np.where(lead, one, _salt(docs[row], start))
         yield pa.record_batch([
-            pa.array(key.view(np.int64)), pa.array((two >> np.uint64(33)).astype(np.int32)), pa.array(docs[row]), pa.array(crc[row]),
-            pa.array(start.astype(np.int32)), pa.array(~lead)], ["key", "more", "doc", "crc", "start", "known"])
+            pa.array(key.view(np.int64)), pa.array((two >> np.uint64(33)).astype(np.int32)), pa.array(docs[row]), pa.array(h1[row]), pa.array(h2[row]),
+            pa.array(start.astype(np.int32)), pa.array(~lead)], ["key", "more", "doc", "h1", "h2", "start", "known"])
 
 
 def _later_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows sorted by hash, document and start: all but the first of each hash repeat it."""
     held = None
     for b in batches:
-        known = b.column(5).to_numpy(zero_copy_only=False)
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:5]]
+        known = b.column(6).to_numpy(zero_copy_only=False)
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:6]]
         one = lambda c: np.ones(len(c), np.int32)
         if known.any():
-            doc, crc, start = (c[known] for c in cols[2:])
-            yield _marks(doc, crc, start, one(doc), np.ones(len(doc), bool))
+            doc, h1, h2, start = (c[known] for c in cols[2:])
+            yield _marks(doc, h1, h2, start, one(doc), np.ones(len(doc), bool))
             cols = [c[~known] for c in cols]
         if not len(cols[0]):
             continue
         if held is not None:
             cols = [np.r_[h, c] for h, c in zip(held, cols)]
-        key, more, doc, crc, start = cols
+        key, more, doc, h1, h2, start = cols
         at = runs(key, more)
         lead_at = np.repeat(at[:-1], np.diff(at))
         later = (doc != doc[lead_at]) | (start != start[lead_at])
         if later.any():
-            yield _marks(doc[later], crc[later], start[later], one(doc[later]), np.ones(int(later.sum()), bool))
+            yield _marks(doc[later], h1[later], h2[later], start[later], one(doc[later]), np.ones(int(later.sum()), bool))
         held = [c[at[-2]:at[-2] + 1] for c in cols]
 
 
@@ -300,7 +304,7 @@ def _without(text: bytes, marks: list[dict] | None) -> tuple[int, list[bytes], l
 
 def _cut_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in split_batches(batches, "text"):
-        found = [_without(t, m) for t, m in zip(encoded(part.column(2)), part.column(3).to_pylist())]
+        found = [_without(t, m) for t, m in zip(encoded(part.column(3)), part.column(4).to_pylist())]
         spans = [[{"start": a, "end": b} for a, b in out] for _, _, out in found]
         yield pa.record_batch([
             part.column(0), pa.array([n for n, _, _ in found], pa.int64()), pa.array([n - len(k) for n, k, _ in found], pa.int64()),
@@ -311,10 +315,10 @@ def _cut_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _clean_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with something to remove become their kept words; the others stay as they are."""
     for part in split_batches(batches, "text"):
-        old, new = part.column(2).to_pylist(), []
-        for text, marks in zip(old, part.column(3).to_pylist()):
+        old, new = part.column(3).to_pylist(), []
+        for text, marks in zip(old, part.column(4).to_pylist()):
             new.append(b" ".join(_without(text.encode(), marks)[1]).decode() if marks else text)
-        yield pa.record_batch([pa.array(new, pa.string()), pa.array([bool(m) for m in part.column(3).to_pylist()]), part.column(4)], ["text", "changed", "rest"])
+        yield pa.record_batch([pa.array(new, pa.string()), pa.array([bool(m) for m in part.column(4).to_pylist()]), part.column(5)], ["text", "changed", "rest"])
 
 
 def passages(ranges: np.ndarray) -> list[tuple[int, int]]:
@@ -331,15 +335,18 @@ def passages(ranges: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Rows named by doc_id and two hashes of the text: texts under one doc_id, or without one, are told apart."""
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_crc"), text.alias("text"), *more)
+    known = F.coalesce(text, F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), F.xxhash64(known).alias("_h1"), F.xxhash64(F.lit(1), known).alias("_h2"), text.alias("text"), *more)
 
 
 def _with_marks(docs: DataFrame, marks: DataFrame, *more: Column) -> DataFrame:
     """Documents with the marks of each as an array; the small side is the one that is built."""
-    per = marks.groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    joined = _keyed(docs, *more).join(per.hint("shuffle_hash"), (F.col("_doc") == per["doc"]) & (F.col("_crc") == per["crc"]), "left")
-    return joined.drop("doc", "crc").select("_doc", "_crc", "text", "marks", *joined.columns[3:3 + len(more)])
+    per = marks.groupBy("doc", "h1", "h2").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    same = (F.col("_doc") == per["doc"]) & (F.col("_h1") == per["h1"]) & (F.col("_h2") == per["h2"])
+    joined = _keyed(docs, *more).join(per.hint("shuffle_hash"), same, "left")
+    return joined.drop("doc", "h1", "h2").select("_doc", "_h1", "_h2", "text", "marks", *joined.columns[4:4 + len(more)])
 
 
 def _shuffled(df: DataFrame, *order: str) -> DataFrame:
@@ -347,17 +354,17 @@ def _shuffled(df: DataFrame, *order: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Runs of repeated windows: doc, crc of the text, start and number of windows.
+    """Runs of repeated windows: doc, two hashes of the text, start and number of windows.
 
     The comparison of anchors is written to the shared folder: two later steps read it.
     """
-    mark = "doc bigint, crc bigint, start int, n int, repeated boolean"
-    found = _keyed(docs).mapInArrow(_anchor_batches, "key bigint, span bigint, doc bigint, crc bigint, start int, n int, known boolean")
+    mark = "doc bigint, h1 bigint, h2 bigint, start int, n int, repeated boolean"
+    found = _keyed(docs).mapInArrow(_anchor_batches, "key bigint, span bigint, doc bigint, h1 bigint, h2 bigint, start int, n int, known boolean")
     marks = scratch_table(_shuffled(found, "key", "span", "doc", "start").mapInArrow(_compare_batches, mark), "repeats")
     open_ = _with_marks(docs, marks.filter("NOT repeated"))
-    windows = open_.mapInArrow(_window_batches, "key bigint, more int, doc bigint, crc bigint, start int, known boolean")
+    windows = open_.mapInArrow(_window_batches, "key bigint, more int, doc bigint, h1 bigint, h2 bigint, start int, known boolean")
     later = _shuffled(windows, "key", "more", "doc", "start").mapInArrow(_later_batches, mark)
-    return marks.filter("repeated").unionByName(later).select("doc", "crc", "start", "n")
+    return marks.filter("repeated").unionByName(later).select("doc", "h1", "h2", "start", "n")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -366,7 +373,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = _with_marks(docs, repeats(docs))
     ids = F.when(F.col("_doc") != LAST, F.col("_doc")).cast(kind)
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept string, spans array<struct<start: bigint, end: bigint>>"
-    return rows.select(ids.alias("doc_id"), "_crc", "text", "marks").mapInArrow(_cut_batches, schema)
+    return rows.select(ids.alias("doc_id"), "_h1", "_h2", "text", "marks").mapInArrow(_cut_batches, schema)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -379,7 +386,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     rows = _with_marks(docs, repeats(docs), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
     kind = rows.schema["rest"].dataType
     schema = StructType([StructField("text", StringType()), StructField("changed", BooleanType()), StructField("rest", kind)])
-    out = rows.select("_doc", "_crc", "text", "marks", "rest").mapInArrow(_clean_batches, schema)
+    out = rows.select("_doc", "_h1", "_h2", "text", "marks", "rest").mapInArrow(_clean_batches, schema)
 
     def column(name: str) -> Column:
         if name == "text":

@@ -98,3 +98,14 @@ def test_representatives_are_rows_not_ids(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, extra string")
     out = [(r.doc_id, r.text) for r in simhash.representatives(df).collect()]
     assert sorted(out, key=str) == sorted([(None, "alone again or not"), (None, "another text without any id"), (None, None), (7, "first text under this id"), (7, "some second text under that id")], key=str)
+
+
+def test_columns_that_clash_with_names_used_inside(spark):
+    from marketloom.llm import near_duplicates
+
+    texts = ["one two three four five six", "one two three four five six", "quite another text of some words", None]
+    rows = [(i, t, i, f"v{i}", i, i) for i, t in enumerate(texts)] + [(2, texts[2], 9, "copy", 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _id int, `a.b` string, _hash int, _row int")
+    for judge in (simhash.representatives, near_duplicates.distinct):
+        out = judge(df)
+        assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 3]

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -77,3 +78,36 @@ def test_cleaned_keeps_columns_and_white_space(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: (rows[0][1], 5), 2: ("second tail", 11), 3: (rows[2][1], 12), 4: (None, None)}
 
 
+
+
+def test_texts_of_one_check_sum_under_one_id(spark):
+    """A text whose CRC-32 was forged to that of another: each is judged by its own words."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = f"{passage} end"
+    for k in range(10_000):  # until the four forged bytes are plain letters of UTF-8
+        head = f"short text {k} ".encode()
+        forged = head + _four_bytes(head, zlib.crc32(long.encode()))
+        if all(33 <= b < 127 for b in forged[len(head):]):
+            break
+    assert zlib.crc32(forged) == zlib.crc32(long.encode())
+    other = forged.decode()
+    check(spark, [(1, f"first {passage}", "k"), (None, long, "k"), (None, other, "k"), (7, long, "k"), (7, other, "k")])
+
+
+def _four_bytes(head: bytes, want: int) -> bytes:
+    """What to append to ``head`` so that its CRC-32 becomes ``want``."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    by_top = {v >> 24: i for i, v in enumerate(table)}
+    state, picks = want ^ 0xFFFFFFFF, []
+    for _ in range(4):
+        picks.append(by_top[state >> 24])
+        state = (state ^ table[picks[-1]]) << 8 & 0xFFFFFFFF
+    state, out = zlib.crc32(head) ^ 0xFFFFFFFF, bytearray()
+    for i in reversed(picks):
+        out.append((state ^ i) & 255)
+        state = state >> 8 ^ table[i]
+    return bytes(out)

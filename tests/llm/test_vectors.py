@@ -93,3 +93,17 @@ def test_search_of_few_and_odd_vectors(spark):
     half = round(2**-0.5, 6)
     assert out == [(0, 1, 1, half), (0, 2, 2, half), (0, 3, 50, half), (50, 1, 0, half), (50, 2, 1, 0.0), (50, 3, 2, 0.0)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+EXTREME = [[1e200, 1e200], [2e200, 2e200], [1e-200, 1e-200], [1.0, 1.0], [5e-324, 5e-324], [1.7e308, 1.7e308], [1.0, -1.0], [1e-300, -1e-300]]
+
+
+def test_vectors_of_extreme_size(spark):
+    df = spark.createDataFrame([(i, v, "x") for i, v in enumerate(EXTREME)], SCHEMA)
+    out = {r.vec_id: (r.n_links, r.component_id) for r in metric_join.near_duplicates(df).collect()}
+    assert out == {i: (5, 0) if i < 6 else (1, 6) for i in range(8)}
+    near = ann.nearest(df, F.col("vec_id").isin(0, 2, 4, 6), 3).collect()
+    got = {q: [(r.vec_id, r.score) for r in sorted(near, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 2, 4, 6)}
+    for q in (0, 2, 4):
+        assert len(got[q]) == 3 and {i for i, _ in got[q]} <= set(range(6)) - {q} and all(abs(x - 1) < 1e-12 for _, x in got[q])
+    assert got[6][0][0] == 7 and abs(got[6][0][1] - 1) < 1e-12
