@@ -160,7 +160,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows whose score reaches the threshold, with the columns they came with."""
-    return docs.mapInArrow(lambda it: _keep_batches(it, model, threshold), docs.schema)
+    # under plain names: mapInArrow looks its columns up by name, and a name may hold a dot
+    plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    return plain.mapInArrow(lambda it: _keep_batches(it, model, threshold), plain.schema).toDF(*docs.columns)
 
 
 def _keep_batches(batches: Iterable[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
