@@ -148,8 +148,8 @@ def rank_encoder(path: str, pattern: str) -> ChunkEncoder:
 
 
 @lru_cache
-def json_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(tokenizer_from_json(path))
+def json_encoder(path: str, limit: int = MEMO_CHUNKS) -> ChunkEncoder:
+    return ChunkEncoder(tokenizer_from_json(path), limit)
 
 
 @lru_cache

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.shared import materialize
 from marketloom.llm.batches import split_batches, texts_of
-from marketloom.llm.bpe import json_encoder
+from marketloom.llm.bpe import MEMO_CHUNKS, json_encoder
 
 #: Rows of one length are numbered in so many independent buckets per shuffle partition.
 NUMBERING_BUCKETS = 4
@@ -45,8 +45,8 @@ class Capacity:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens ** 2], float)
 
 
-def _piece_batches(batches: Iterable[pa.RecordBatch], path: str, end_id: int, tokens: int) -> Iterator[pa.RecordBatch]:
-    encoder = json_encoder(path)
+def _piece_batches(batches: Iterable[pa.RecordBatch], path: str, end_id: int, tokens: int, chunks: int) -> Iterator[pa.RecordBatch]:
+    encoder = json_encoder(path, chunks)
     end = np.array([end_id], "<u4").tobytes()
     for part in split_batches(batches, "text"):
         row, piece, start, length, crc = [], [], [], [], []
@@ -61,15 +61,15 @@ def _piece_batches(batches: Iterable[pa.RecordBatch], path: str, end_id: int, to
             pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens: int = 1024) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, tokens: int = 1024, chunks: int = MEMO_CHUNKS) -> DataFrame:
     """The pieces of each document: ids of its text and the end mark, cut where they exceed ``tokens``.
 
-    All pieces but the first are full.
+    All pieces but the first are full.  ``chunks`` bounds the table of known chunks of a worker (about 200 bytes each).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _piece_batches(it, tokenizer, end_id, tokens), schema)
+    return rows.mapInArrow(lambda it: _piece_batches(it, tokenizer, end_id, tokens, chunks), schema)
 
 
 def plan(histogram: dict[int, int], capacity: Capacity, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), score: str = "norm") -> list[tuple[int, int, int, int, int]]:
