@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions.dist import chi2_upper, f_upper, normal_cdf, normal_two_sided, t_two_sided, z_value
 from marketloom.functions.exprs import correlation, n_rows, or_zero, with_one_row
-from marketloom.functions.ordered import quantiles, running_totals
+from marketloom.functions.ordered import dominance, quantiles, running_totals
+from marketloom.functions.shared import materialize
 from marketloom.operators.quality import unpivot_numbers
 
 
@@ -53,28 +54,21 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def kendall_tau(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Tau-b of two discrete columns from their contingency cells.
-
-    Rows are counted per cell first; the ordered sums run over cells, whose
-    number is the product of the two value domains, not the number of rows.
-    """
-    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(n_rows().alias("n"))
-    levels = cells.agg(F.collect_set("y")).scalar()  # the values of a discrete column
-    above = cells.withColumn("_l", levels).select("x", "n", F.explode(F.filter("_l", lambda v: v > F.col("y"))).alias("y"))
-    seen = above.unionByName(cells.select("x", F.lit(0).cast("long").alias("n"), "y")).groupBy("x", "y").agg(F.sum("n").alias("below"))
-    run = W.partitionBy("y").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
-    left_below = seen.select("x", "y", or_zero(F.sum("below").over(run)).alias("c"))
-    total = cells.groupBy("x").agg(F.sum("n").alias("tx"))
-    left_all = total.select("x", or_zero(F.sum("tx").over(W.partitionBy(F.lit(0)).orderBy("x").rowsBetween(W.unboundedPreceding, -1))).alias("la"))
-    same = W.partitionBy("y").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
-    base = cells.withColumn("left_same", or_zero(F.sum("n").over(same)))
-    joined = base.join(left_below, ["x", "y"]).join(left_all, "x")
-    discordant = F.col("la") - F.col("c") - F.col("left_same")
-    pairs = joined.agg(F.sum(F.col("n") * F.col("c")).cast("double").alias("con"), F.sum(F.col("n") * discordant).cast("double").alias("dis"), F.sum("n").cast("double").alias("n"))
-    tie = lambda key: cells.groupBy(key).agg(F.sum("n").cast("double").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).scalar()
-    out = pairs.withColumn("t1", tie("x")).withColumn("t2", tie("y")).withColumn("n0", F.col("n") * (F.col("n") - 1) / 2)
-    tau = (F.col("con") - F.col("dis")) / F.sqrt((F.col("n0") - F.col("t1")) * (F.col("n0") - F.col("t2")))
-    return out.select(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), "con", "dis", tau.alias("tau"))
+    """Tau-b of two columns of any kind of number: discordant pairs are counted exactly, the others follow from ties."""
+    rows = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    cells = materialize(rows.groupBy("x", "y").agg(n_rows().alias("n")))
+    discordant, _ = dominance(cells, "x", "y", "n", "n")
+
+    def tied(*by: str) -> int:
+        """Pairs of rows that agree in the columns."""
+        n = cells.groupBy(*by).agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+        return int(n.agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1)).cast("decimal(38,0)")), F.lit(0))).first()[0]) // 2
+
+    pairs, in_x, in_y = tied(), tied("x"), tied("y")
+    concordant = pairs - discordant - in_x - in_y + tied("x", "y")
+    scale = math.sqrt((pairs - in_x) * (pairs - in_y))
+    tau = (concordant - discordant) / scale if scale else None
+    return df.sparkSession.createDataFrame([(a, b, float(concordant), float(discordant), tau)], "feature_a string, feature_b string, con double, dis double, tau double")
 
 
 def normality_columns(n: Column, skew: Column, kurt: Column) -> tuple[Column, Column]:

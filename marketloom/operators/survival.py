@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions.exprs import days_between, n_rows, or_zero, with_lookup
-from marketloom.functions.ordered import ntile_by, quantiles
+from marketloom.functions.ordered import dominance, ntile_by, quantiles, running_totals
 from marketloom.operators.quality import unpivot_numbers
 
 
@@ -168,24 +168,17 @@ def relative_hazard(df: DataFrame, coefficients: Mapping[str, tuple[float, float
     return df.withColumn("relative_hazard", F.exp(sum(terms[1:], terms[0])))
 
 
-def concordance(df: DataFrame, risk: str, bins: int = 256) -> DataFrame:
-    """Share of comparable pairs ordered by the risk score.
+def concordance(df: DataFrame, risk: str) -> DataFrame:
+    """Share of comparable pairs ordered by the risk score; pairs of equal scores count half.
 
-    Rows are counted per day and risk bin; pairs are sums over these cells and
-    scores of one bin count as tied, so the bins set the resolution.
+    An event is compared with every row that lasts longer, or as long without an event.  Counts are exact.
     """
-    # approximate edges are enough: they only place the bins
-    edges = df.agg(F.percentile_approx(risk, [i / bins for i in range(1, bins)], 100_000)).scalar()
-    cell = df.withColumn("_e", edges).select("duration", "event", F.size(F.filter("_e", lambda e: e < F.col(risk))).alias("b"))
-    counts = cell.groupBy("duration", "b").agg(n_rows().alias("n"), F.sum("event").alias("d")).collect()  # days x bins
-    days = sorted({r["duration"] for r in counts})
-    at = {t: i for i, t in enumerate(days)}
-    n, d = np.zeros((len(days), bins)), np.zeros((len(days), bins))
-    for r in counts:
-        n[at[r["duration"]], r["b"]] += r["n"]
-        d[at[r["duration"]], r["b"]] += r["d"]
-    later = np.cumsum(n[::-1], axis=0)[::-1] - n + (n - d)  # longer survival, or censored the same day
-    lower = np.cumsum(later, axis=1) - later
-    concordant, tied, total = float((d * lower).sum()), float((d * later).sum()), float((d * later.sum(axis=1, keepdims=True)).sum())
+    # one axis for both: rows without an event come after events of the same duration
+    rows = df.select(F.col(risk).cast("double").alias("risk"), (F.col("duration").cast("bigint") * 2 + 1 - F.col("event")).alias("end"), F.col("event").cast("bigint").alias("event"), F.lit(1).alias("one")).filter(F.col("risk").isNotNull() & F.col("end").isNotNull())
+    concordant, tied = dominance(rows, "risk", "end", "event", "one")
+    ends = rows.groupBy("end").agg(n_rows().alias("n"), F.sum("event").alias("d"))
+    after = running_totals(ends, [F.col("end").desc()], sums={"upto": "n"}, rank=None)
+    later = F.col("d") * (F.col("upto") - F.col("n"))
+    total = int(after.agg(F.coalesce(F.sum(later.cast("decimal(38,0)")), F.lit(0))).first()[0])
     value = (concordant + 0.5 * tied) / total if total else 0.5
-    return df.sparkSession.createDataFrame([(value, total)], "concordance double, comparable_pairs double")
+    return df.sparkSession.createDataFrame([(value, float(total))], "concordance double, comparable_pairs double")

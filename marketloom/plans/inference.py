@@ -27,6 +27,11 @@ query("t2_kendall", "feature_a:s feature_b:s con:d0 dis:d0 tau:d6",
       """WITH k AS (SELECT quantity x, discount_pct y, COUNT(*) n FROM itm GROUP BY 1, 2), p AS (SELECT SUM(a.n * b.n) FILTER (b.y < a.y) con, SUM(a.n * b.n) FILTER (b.y > a.y) dis FROM k a JOIN k b ON b.x < a.x),
 t AS (SELECT (SELECT SUM(n * (n - 1) / 2) FROM (SELECT SUM(n) n FROM k GROUP BY x)) t1, (SELECT SUM(n * (n - 1) / 2) FROM (SELECT SUM(n) n FROM k GROUP BY y)) t2, (SELECT SUM(n) FROM k) n)
 SELECT 'quantity' AS feature_a, 'discount_pct' AS feature_b, con, dis, (con - dis) / sqrt((n * (n - 1) / 2 - t1) * (n * (n - 1) / 2 - t2)) AS tau FROM p, t""")(lambda c: stats.kendall_tau(c.order_items, "quantity", "discount_pct"))
+query("t2_kendall_order_totals", "feature_a:s feature_b:s con:d0 dis:d0 tau:d6",
+      """WITH k AS (SELECT CAST(SUM(order_total) AS DOUBLE) x, CAST(MAX(order_total) AS DOUBLE) y FROM ord GROUP BY customer_id), p AS (SELECT COUNT(*) FILTER (b.y < a.y) con, COUNT(*) FILTER (b.y > a.y) dis FROM k a JOIN k b ON b.x < a.x),
+t AS (SELECT (SELECT SUM(n * (n - 1) / 2) FROM (SELECT COUNT(*) n FROM k GROUP BY x)) t1, (SELECT SUM(n * (n - 1) / 2) FROM (SELECT COUNT(*) n FROM k GROUP BY y)) t2, (SELECT COUNT(*) FROM k) n)
+SELECT 'total' AS feature_a, 'largest' AS feature_b, con, dis, (con - dis) / sqrt((n * (n - 1) / 2 - t1) * (n * (n - 1) / 2 - t2)) AS tau FROM p, t""")(
+    lambda c: stats.kendall_tau(c.orders.groupBy("customer_id").agg(F.sum("order_total").alias("total"), F.max("order_total").alias("largest")), "total", "largest"))
 query("t3_normality", "feature:s n:i statistic:d2 p_value:d6 is_normal:b")(lambda c: stats.normality(c.order_items, _N))
 query("t3_ks_normal", "feature:s n:i ks_statistic:d6")(lambda c: stats.ks_normal(c.orders, "order_total"))
 

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions import dist
-from marketloom.functions.ordered import ntile_by, quantiles, running_totals
+from marketloom.functions.ordered import dominance, ntile_by, quantiles, running_totals
+from marketloom.operators import stats, survival
 from marketloom.operators.recommend import pairs_within
 
 
@@ -98,3 +99,52 @@ def test_a_hot_key_is_spread_over_ranges(spark, skewed):
     ranges = skewed.repartitionByRange(*order).groupBy(F.spark_partition_id().alias("r")).agg(F.count("*").alias("n"), F.count_if(F.col("k") == "hot").alias("hot")).collect()
     assert sum(r["hot"] > 0 for r in ranges) >= 2
     assert max(r["n"] for r in ranges) < 2 * 6000 / len(ranges)
+
+
+def pairs_of(x, y, wanted, weight):
+    later = y[None, :] > y[:, None]
+    both = wanted[:, None] * weight[None, :] * later
+    return int((both * (x[None, :] < x[:, None])).sum()), int((both * (x[None, :] == x[:, None])).sum())
+
+
+@pytest.mark.parametrize("levels, ranges", [((5, 7), "8"), ((400, 300), "8"), ((10 ** 6, 10 ** 6), "3"), ((1, 50), "8"), ((50, 1), "8")])
+def test_dominance_counts_equal_all_pairs(spark, levels, ranges):
+    rng = np.random.default_rng(levels[0])
+    n = 900
+    x, y = rng.integers(0, levels[0], n) / 4, rng.integers(-9, levels[1], n)
+    x[: n // 3] = x[0]  # a third of the rows share one value
+    wanted, weight = rng.integers(0, 3, n), rng.integers(0, 4, n)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "a": wanted, "b": weight})).repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        assert dominance(df, "x", "y", "a", "b") == pairs_of(x, y, wanted, weight)
+        assert dominance(df.limit(0), "x", "y", "a", "b") == (0, 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_concordance_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    n = 700
+    duration, event = rng.integers(1, 40, n), rng.integers(0, 2, n)
+    risk = np.where(rng.random(n) < 0.4, np.round(rng.random(n), 1), rng.random(n))  # some scores tie, most do not
+    df = spark.createDataFrame(pd.DataFrame({"risk": risk, "duration": duration, "event": event})).repartition(4)
+    later = (event[:, None] == 1) & ((duration[None, :] > duration[:, None]) | (duration[None, :] == duration[:, None]) & (event[None, :] == 0))
+    good, level = (later & (risk[None, :] < risk[:, None])).sum(), (later & (risk[None, :] == risk[:, None])).sum()
+    out = survival.concordance(df, "risk").first()
+    assert out.comparable_pairs == later.sum() and abs(out.concordance - (good + level / 2) / later.sum()) < 1e-12
+    assert survival.concordance(df.limit(0), "risk").first().concordance == 0.5
+
+
+def test_kendall_of_continuous_columns_equals_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    n = 600
+    a = rng.random(n)
+    b = np.where(rng.random(n) < 0.3, np.round(a, 1), a + rng.normal(0, 0.3, n))
+    a[:150] = 0.5
+    sign = np.sign(a[None, :] - a[:, None]) * np.sign(b[None, :] - b[:, None])
+    con, dis = (sign > 0).sum() / 2, (sign < 0).sum() / 2
+    pairs = n * (n - 1) / 2
+    tie = lambda v: (np.unique(v, return_counts=True)[1] * (np.unique(v, return_counts=True)[1] - 1) / 2).sum()
+    out = stats.kendall_tau(spark.createDataFrame(pd.DataFrame({"a": a, "b": b})).repartition(4), "a", "b").first()
+    assert (out.con, out.dis) == (con, dis) and abs(out.tau - (con - dis) / math.sqrt((pairs - tie(a)) * (pairs - tie(b)))) < 1e-12
