@@ -59,10 +59,10 @@ def test_batches_may_end_anywhere(monkeypatch):
 
     rnd = np.random.default_rng(3)
     n = 400
-    cols = [rnd.integers(0, 12, n), rnd.integers(0, 3, n), rnd.integers(0, 20, n), np.zeros(n, np.int64), rnd.integers(0, 5, n).astype(np.int32), np.ones(n, np.int32)]
-    order = np.lexsort((cols[4], cols[2], cols[1], cols[0]))
+    cols = [rnd.integers(0, 12, n), rnd.integers(0, 3, n), rnd.integers(0, 20, n), np.zeros(n, np.int64), np.zeros(n, np.int64), rnd.integers(0, 5, n).astype(np.int32), np.ones(n, np.int32)]
+    order = np.lexsort((cols[5], cols[2], cols[1], cols[0]))
     cols = [c[order] for c in cols]
-    batch = pa.record_batch([*[pa.array(c) for c in cols], pa.array(rnd.random(n) < 0.1)], ["key", "span", "doc", "crc", "start", "n", "known"])
+    batch = pa.record_batch([*[pa.array(c) for c in cols], pa.array(rnd.random(n) < 0.1)], ["key", "span", "doc", "h1", "h2", "start", "n", "known"])
     rows = lambda out: sorted(tuple(r.values()) for b in out for r in b.to_pylist())
     whole = rows(substring._compare_batches([batch]))
     for size in (1, 2, 7, 50):
@@ -78,8 +78,6 @@ def test_cleaned_keeps_columns_and_white_space(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: (rows[0][1], 5), 2: ("second tail", 11), 3: (rows[2][1], 12), 4: (None, None)}
 
 
-
-
 def test_texts_of_one_check_sum_under_one_id(spark):
     """A text whose CRC-32 was forged to that of another: each is judged by its own words."""
     passage = " ".join(f"p{i}" for i in range(60))
