@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketloom.functions.exprs import or_zero
 from marketloom.functions.shared import materialize
 
 _LOCAL_BITS = 33
@@ -143,6 +144,35 @@ def quantiles(
     )
 
 
+# --- linear recurrence -------------------------------------------------------
+
+#: Rows folded in one array by ``decayed_totals``.
+CHUNK = 1024
+
+
+def decayed_totals(df: DataFrame, order_by: Sequence[str | Column], value: str, out: str, decay: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Add a[t] = value[t] + decay * a[t-1] within ``keys`` in ``order_by``, a total order; a null value counts as zero.
+
+    Rows are numbered over ranges and folded in chunks, each from zero.  What a chunk inherits follows from the last
+    values of the chunks before it, so only one row per ``CHUNK`` rows of a key meets in one place.
+    """
+    decay, last = float(decay), lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0))
+    placed = running_totals(df.withColumn("_x", or_zero(F.col(value).cast("double"))), order_by, keys=keys, rank="_place")
+    row = F.struct("_place", "_x", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    cut = placed.withColumn("_key", F.struct(*keys) if keys else F.lit(0)).withColumn("_chunk", F.floor((F.col("_place") - 1) / CHUNK).cast("int"))
+    chunks = cut.groupBy("_key", "_chunk").agg(F.array_sort(F.collect_list(row), lambda a, b: (a["_place"] - b["_place"]).cast("int")).alias("_rows"))
+    grow = lambda acc, r: F.concat(acc, F.array(r["_x"] + F.lit(decay) * last(acc)))
+    folded = chunks.withColumn("_a", F.aggregate("_rows", F.array().cast("array<double>"), grow))
+    ends = folded.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_chunk", F.element_at("_a", -1).alias("_end")))).alias("_ends"))
+    # every chunk but the last of a key is full
+    inherit = F.aggregate("_ends", F.array(F.lit(0.0)), lambda acc, e: F.concat(acc, F.array(e["_end"] + F.lit(decay**CHUNK) * last(acc))))
+    starts = ends.select("_key", F.posexplode(inherit).alias("_chunk", "_start"))
+    rows = folded.join(starts, ["_key", "_chunk"]).select(
+        "_chunk", "_start", F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_a").alias("a"))).alias("z"))
+    passed = F.col("z.r._place") - F.col("_chunk").cast("long") * CHUNK
+    return rows.select("z.r._row.*", (F.col("z.a") + F.pow(F.lit(decay), passed) * F.col("_start")).alias(out))
+
+
 # --- dominance counts --------------------------------------------------------
 
 #: Ranges of either axis: the table between them has at most the square of it.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.exprs import is_valid, n_rows, or_zero, ratio
 from marketloom.functions.ml import fit_cached
-from marketloom.functions.ordered import quantiles, running_totals
+from marketloom.functions.ordered import decayed_totals, quantiles, running_totals
 
 STAGES = ("signup", "view", "click", "purchase")
 
@@ -266,17 +266,9 @@ def funnel_value(events: DataFrame, orders: DataFrame, stages: Sequence[str] = S
 
 
 def adstock(df: DataFrame, series: Sequence[str], time: str, value: str, decay: float = 0.5, out: str = "adstock") -> DataFrame:
-    """Carry-over a[t] = x[t] + decay * a[t-1] along each (calendar-bounded) series."""
-    x = F.col(value).cast("double")
-    packed = df.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct(F.col(time), x.alias("_x")))).alias("_s"))
-    fold = F.aggregate(
-        F.col("_s"),
-        F.array().cast("array<double>"),
-        lambda acc, s: F.concat(acc, F.array(s["_x"] + F.lit(float(decay)) * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))),
-    )
-    return packed.select(*series, F.explode(F.arrays_zip(F.col("_s").alias("s"), fold.alias("a"))).alias("z")).select(
-        *series, F.col(f"z.s.{time}").alias(time), F.col("z.s._x").alias(value), F.col("z.a").alias(out)
-    )
+    """Carry-over a[t] = x[t] + decay * a[t-1] along each series, of any length."""
+    valued = df.select(*series, time, F.col(value).cast("double").alias(value))
+    return decayed_totals(valued, [time], value, out, decay, series)
 
 
 def saturation(value: str | Column, point: float = 1000.0) -> Column:
