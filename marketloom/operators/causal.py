@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -78,15 +80,45 @@ def poisson_weight(key: str | Column, replicate: Column) -> Column:
     return reduce(lambda acc, i: F.when(u < edges[i], i).otherwise(acc), range(len(edges) - 1, -1, -1), F.lit(len(edges)))
 
 
+def _add_replicates(names: Sequence[str]):
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                group = b.column(0).to_numpy(zero_copy_only=False)
+                weights = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(float)
+                values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]])
+                for g in np.unique(group).tolist():
+                    own = group == g
+                    held[g] = held.get(g, 0.0) + weights[own].T @ values[own]
+        for g, sums in held.items():
+            places = np.arange(1, len(sums) + 1)
+            yield pa.record_batch([pa.array(np.full(len(sums), g), pa.int32()), pa.array(places, pa.int32()), *[pa.array(c.copy()) for c in sums.T]], ["group", "rep", *names])
+
+    return add
+
+
+def replicate_sums(df: DataFrame, group: str, values: Mapping[str, Column], key: str, replicates: int) -> DataFrame:
+    """Poisson-weighted sums per group 0 or 1 and bootstrap replicate; null values count as zero.
+
+    Each row is read once with its weights in all replicates, and a partition leaves one row per group and replicate.
+    """
+    weights = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: poisson_weight(key, r).cast("tinyint"))
+    rows = df.filter(F.col(group).isin(0, 1)).select(F.col(group).cast("int").alias("group"), weights.alias("_times"), *[or_zero(v.cast("double")).alias(n) for n, v in values.items()])
+    schema = "group int, rep int, " + ", ".join(f"{n} double" for n in values)
+    return rows.mapInArrow(_add_replicates(list(values)), schema).groupBy("group", "rep").agg(*[F.sum(n).alias(n) for n in values])
+
+
 def inverse_probability_weighting(df: DataFrame, key: str, treatment: str, outcome: str, score: str = "propensity_score", replicates: int = 100) -> DataFrame:
     """Weighted effect with clipped weights and a Poisson bootstrap standard error.
 
-    Replicates multiply rows only inside the map side of one aggregation.
+    Rows are read once for all replicates (``replicate_sums``).
     """
     data = _clipped_weights(df.select(key, treatment, outcome, score), treatment, score)
     t, y, w = F.col(treatment), F.col(outcome).cast("double"), F.col("weight")
-    drawn = data.select(key, treatment, outcome, "weight", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    boot = drawn.groupBy("rep").agg(_weighted_effect(t, y, w * poisson_weight(key, F.col("rep"))).alias("e"))
+    sums = replicate_sums(data, treatment, {"wy": w * y, "w": w}, key, replicates)
+    mean = lambda v: F.try_divide(F.max(F.when(F.col("group") == v, F.col("wy"))), F.max(F.when(F.col("group") == v, F.col("w"))))
+    boot = sums.groupBy("rep").agg((mean(1) - mean(0)).alias("e"))
     out = data.agg(
         F.count_if(t == 1).alias("n_treated"), F.count_if(t == 0).alias("n_control"), _weighted_effect(t, y, w).alias("ate"), F.avg(w).alias("mean_weight"), F.max(w).alias("max_weight"))
     out = out.withColumn("standard_error", boot.agg(F.stddev_pop("e")).scalar())
@@ -129,11 +161,10 @@ def parallel_trends(df: DataFrame, key: str, treatment: str, outcome: str, time:
     centre = data.agg(F.avg("x")).scalar()
     data = data.withColumn("x", F.col("x") - centre)
     slope = lambda t: F.regr_slope(F.when(F.col("t") == t, F.col("y")), F.when(F.col("t") == t, F.col("x")))
-    drawn = data.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("w", poisson_weight("k", F.col("rep")))
-    w = F.col("w")
-    sums = drawn.groupBy("rep", "t").agg(F.sum(w).alias("s"), F.sum(w * F.col("x")).alias("sx"), F.sum(w * F.col("y")).alias("sy"), F.sum(w * F.col("x") * F.col("y")).alias("sxy"), F.sum(w * F.col("x") * F.col("x")).alias("sxx"))
+    x, y = F.col("x"), F.col("y")
+    sums = replicate_sums(data, "t", {"s": F.lit(1.0), "sx": x, "sy": y, "sxy": x * y, "sxx": x * x}, "k", replicates)
     b = F.try_divide(F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    diffs = sums.groupBy("rep").agg((F.max(F.when(F.col("t") == 1, b)) - F.max(F.when(F.col("t") == 0, b))).alias("d"))
+    diffs = sums.groupBy("rep").agg((F.max(F.when(F.col("group") == 1, b)) - F.max(F.when(F.col("group") == 0, b))).alias("d"))
     ci = diffs.agg(F.struct(F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"))).scalar()
     out = data.agg(slope(1).alias("treated_trend"), slope(0).alias("control_trend")).withColumn("ci", ci)
     holds = (F.col("ci.lo") <= 0) & (F.col("ci.hi") >= 0)

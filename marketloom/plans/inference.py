@@ -140,7 +140,7 @@ query("t11_matching_effect", "n_matches:i att:d2 standard_error:d2 t_statistic:d
 query("t12_inverse_probability", "n_treated:i n_control:i ate:d2 mean_weight:d6 max_weight:d6",
       _TR + """w AS (SELECT *, CASE WHEN treatment = 1 THEN 1 / propensity_score ELSE 1 / (1 - propensity_score) END w0 FROM td), e AS (SELECT quantile_cont(w0, 0.01) lo, quantile_cont(w0, 0.99) hi FROM w), x AS (SELECT *, GREATEST(lo, LEAST(w0, hi)) w1 FROM w, e)
 SELECT SUM(treatment) AS n_treated, COUNT(*) - SUM(treatment) AS n_control, SUM(w1 * outcome) FILTER (treatment = 1) / SUM(w1) FILTER (treatment = 1) - SUM(w1 * outcome) FILTER (treatment = 0) / SUM(w1) FILTER (treatment = 0) AS ate, AVG(w1) AS mean_weight, MAX(w1) AS max_weight FROM x""")(
-    lambda c: causal.inverse_probability_weighting(treated(c), "customer_id", "treatment", "outcome", replicates=50))
+    lambda c: causal.inverse_probability_weighting(treated(c), "customer_id", "treatment", "outcome"))
 query("t12_ipw_bootstrap", "ate:d2 standard_error:d2 t_statistic:d4 p_value:d4")(lambda c: causal.inverse_probability_weighting(treated(c), "customer_id", "treatment", "outcome"))
 
 
@@ -163,7 +163,7 @@ query("t14_compare_methods", "method:s effect:d2 standard_error:d2 p_value:d4")(
     matching=causal.matching_effect(_pairs(c)), weighting=causal.inverse_probability_weighting(treated(c), "customer_id", "treatment", "outcome"), diff_in_diff=did(c)))
 query("t15_parallel_trends", "treated_trend:d4 control_trend:d4 trend_difference:d4",
       _DID + "SELECT REGR_SLOPE(y, x) FILTER (t = 1) AS treated_trend, REGR_SLOPE(y, x) FILTER (t = 0) AS control_trend, REGR_SLOPE(y, x) FILTER (t = 1) - REGR_SLOPE(y, x) FILTER (t = 0) AS trend_difference FROM d WHERE x <= 1978")(
-    lambda c: causal.parallel_trends(_did_rows(c).filter("t <= 1978"), "order_id", "treatment", "outcome", "t", replicates=20))
+    lambda c: causal.parallel_trends(_did_rows(c).filter("t <= 1978"), "order_id", "treatment", "outcome", "t"))
 query("t15_trend_interval", "trend_difference:d4 ci_95_lower:d4 ci_95_upper:d4 parallel_trends_holds:b")(lambda c: causal.parallel_trends(_did_rows(c).filter("t <= 1978"), "order_id", "treatment", "outcome", "t"))
 query("t16_validate_instrument", "relevance_correlation:d6 first_stage_r_squared:d6 exclusion_correlation:d6 n:i first_stage_f_statistic:d4 instrument_strong:b",
       _TR + "r AS (SELECT CORR(n_orders, outcome) AS relevance_correlation, CORR(n_orders, outcome) * CORR(n_orders, outcome) AS r2, CORR(n_orders, age) AS exclusion_correlation, COUNT(*) AS n FROM td) SELECT *, r2 AS first_stage_r_squared, r2 / (1 - r2) * (n - 2) AS first_stage_f_statistic, r2 / (1 - r2) * (n - 2) > 10 AS instrument_strong FROM r")(
