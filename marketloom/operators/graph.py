@@ -39,15 +39,19 @@ def similar_pairs(edges: DataFrame, node: str, other: str, threshold: float) ->
 
     Nodes with equal neighbour sets are folded into one first.  A pair above the
     threshold must share one of its rarer neighbours (the prefix of each set in
-    order of rarity), so only those neighbours propose pairs; the exact index is
-    then counted for the proposed pairs.
+    order of rarity), so only those neighbours propose pairs, and only where the
+    sizes and the places of the shared neighbour leave a chance; the exact index
+    is then counted for the proposed pairs.
     """
     rarity = _degrees(edges, other).withColumnRenamed("degree", "_freq")
     sizes = _degrees(edges, node).withColumnRenamed("degree", "_size")
     tagged = edges.join(rarity, other).join(sizes, node)
     placed = running_totals(tagged, [F.col("_freq"), F.col(other)], keys=[node], rank="_place")
     prefix = placed.filter(F.col("_place") <= F.col("_size") - F.ceil(F.lit(threshold) * F.col("_size")) + 1)
-    proposed = pairs_within(prefix.select(other, node), other, node).select("a", "b").distinct()
+    met = pairs_within(prefix.select(other, node, F.struct("_place", "_size").alias("_at")), other, node, "_at")
+    # at the first neighbour two sets share, the rest of either bounds what they share: sizes and places rule pairs out
+    most = F.least(F.col("va._size") - F.col("va._place"), F.col("vb._size") - F.col("vb._place")) + 1
+    proposed = met.filter(most / (F.col("va._size") + F.col("vb._size") - most) > threshold).select("a", "b").distinct()
     left = proposed.join(edges.select(F.col(node).alias("a"), other), "a")
     shared = left.join(edges.select(F.col(node).alias("b"), other), ["b", other]).groupBy("a", "b").agg(n_rows().alias("shared"))
     out = shared.join(sizes.select(F.col(node).alias("a"), F.col("_size").alias("na")), "a").join(sizes.select(F.col(node).alias("b"), F.col("_size").alias("nb")), "b")

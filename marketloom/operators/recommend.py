@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.exprs import n_rows, or_zero
 from marketloom.functions.ml import fit_cached
 from marketloom.functions.ordered import running_totals
+from marketloom.functions.shared import materialize
 
 SCORE_DIGITS = 9  # scores are compared at this precision, so equal scores tie
 
@@ -62,6 +63,66 @@ def top_n(scores: DataFrame, n: int, user: str = "customer_id", item: str = "pro
     return rounded.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+LONG = 256  # a column with more rows than this is long: its rows are not all paired with each other
+_SLACK = 1e-8  # bounds give way by this, more than rounding to SCORE_DIGITS
+_BLOCK = 64  # places of a long column that are asked for at once
+
+
+def cosine_candidates(matrix: DataFrame, row: str, column: str, n: int, long: int = LONG) -> DataFrame:
+    """Scored pairs ``u``, ``v`` among which are the ``n`` nearest of every row by cosine of positive quantities.
+
+    Rows that share a short column are paired there.  A long column is a list by falling weight.  Each row first meets
+    the head of its long lists; the n-th score found so far is a floor for it.  Further down a list it meets only what
+    can reach the floor: weight times weight plus the norms of what both hold in later columns (columns go from short
+    to long, so later ones are the same for both).  Where nothing later is held, entries as heavy as the last of the
+    head lose to the head by their id.  So one column that all rows hold costs a fixed number of pairs a row.
+    """
+    long = max(long, n + 1)
+    norms = matrix.groupBy(row).agg(F.sqrt(F.sum(F.col("qty") * F.col("qty"))).alias("norm"))
+    sizes = matrix.groupBy(column).agg(n_rows().alias("size"))
+    if sizes.filter(F.col("size") > long).isEmpty():
+        return item_similarity(matrix, group=column, item=row).toDF("u", "v", "score")
+    unit = materialize(matrix.join(norms, row).join(sizes, column).select(F.col(row).alias("u"), F.col(column).alias("p"), (F.col("qty") / F.col("norm")).alias("w"), "size"))
+    half = pairs_within(unit.filter(F.col("size") <= long), "p", "u", "w").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("short"))
+    short = half.union(half.select("b", "a", "short")).toDF("u", "v", "short")
+
+    squared = unit.filter(F.col("size") > long).withColumn("_w2", F.col("w") * F.col("w")).withColumn("heavy", F.round("w", 12))
+    later = running_totals(squared, [F.col("size"), F.col("p")], keys=["u"], sums={"_upto": "_w2"}, totals={"_all": "_w2"}, rank="_i", count="_n")
+    rest = F.when(F.col("_i") == F.col("_n"), 0.0).otherwise(F.sqrt(F.greatest(F.col("_all") - F.col("_upto"), F.lit(0.0))))
+    lists = materialize(running_totals(later.select("u", "p", "w", "heavy", rest.alias("rest")), [F.col("heavy").desc(), F.col("u")], keys=["p"], rank="place"))
+    entry = lists.select("u", "p", "w")
+    other = lists.select(F.col("u").alias("v"), "p", F.col("w").alias("wv"), F.col("rest").alias("rest_v"), "place")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """Adds what the long columns contribute."""
+        shared = pairs.select("u", "v").join(entry, "u").join(other.select("v", "p", "wv"), ["v", "p"]).groupBy("u", "v").agg(F.sum(F.col("w") * F.col("wv")).alias("long"))
+        return pairs.join(shared, ["u", "v"], "left").select("u", "v", (F.col("short") + or_zero("long")).alias("score"))
+
+    head = other.filter(F.col("place") <= n + 1).groupBy("p").agg(F.collect_list("v").alias("vs"))
+    met = entry.join(head, "p").select("u", F.explode("vs").alias("v")).filter(F.col("u") != F.col("v")).distinct().withColumn("short", F.lit(0.0))
+    first = materialize(scored(short.unionByName(met).groupBy("u", "v").agg(F.sum("short").alias("short"))))
+    floor = top_n(first, n, "u", "v").filter(F.col("rank") == n).select("u", F.col("score").alias("floor"))
+
+    ends = lists.groupBy("p").agg(F.max("rest").alias("most"), F.min(F.when(F.col("place") <= n + 1, F.col("heavy"))).alias("last"))
+    tied = lists.join(ends, "p").groupBy("p").agg(F.first("most").alias("most"), F.count_if(F.col("heavy") >= F.col("last")).alias("tied"))
+    reach = F.col("rest") * F.col("most")
+    asks = lists.join(floor, "u").join(tied, "p").withColumn("low", (F.col("floor") - _SLACK - reach) / F.col("w")).withColumn("start", F.when(reach == 0, F.col("tied") + 1).otherwise(n + 2))
+    events = asks.select("p", F.col("low").alias("at"), F.lit(0).alias("is"), "u", "w", "rest", "floor", "start").unionByName(
+        lists.select("p", F.col("heavy").alias("at"), F.lit(1).alias("is"), "u"), allowMissingColumns=True)
+    ranked = running_totals(events, [F.col("at").desc(), F.col("is").desc(), F.col("u")], keys=["p"], sums={"stop": "is"}, rank=None)
+    asked = ranked.filter((F.col("is") == 0) & (F.col("stop") >= F.col("start"))).select(
+        "u", "p", "w", "rest", "floor", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / _BLOCK), F.floor(F.col("stop") / _BLOCK))).alias("block"))
+    found = asked.join(other.withColumn("block", F.floor(F.col("place") / _BLOCK)), ["p", "block"]).filter(
+        F.col("place").between(F.col("start"), F.col("stop")) & (F.col("u") != F.col("v")) & (F.col("w") * F.col("wv") + F.col("rest") * F.col("rest_v") >= F.col("floor") - _SLACK))
+    new = found.select("u", "v").distinct().join(first.select("u", "v"), ["u", "v"], "left_anti").withColumn("short", F.lit(0.0))
+    return first.unionByName(scored(new))
+
+
+def nearest_cosine(matrix: DataFrame, row: str, column: str, n: int, long: int = LONG) -> DataFrame:
+    """The ``n`` nearest rows per row by cosine, exactly, ties to the smaller: ``row``, ``other``, ``score``, ``rank``."""
+    return top_n(cosine_candidates(matrix, row, column, n, long), n, "u", "v").select(F.col("u").alias(row), F.col("v").alias("other"), "score", "rank")
+
+
 def popular_products(items: DataFrame, n: int = 100) -> DataFrame:
     """Products by half their units plus half their orders."""
     per = items.groupBy("product_id", "order_id").agg(F.sum("quantity").alias("q"), F.sum("line_total").alias("r"))
@@ -78,8 +139,7 @@ def collaborative_items(matrix: DataFrame, similarity: DataFrame, n: int = 5) ->
 
 def collaborative_users(matrix: DataFrame, neighbours: int = 19, n: int = 5) -> DataFrame:
     """Items of the most similar customers, weighted by similarity and quantity."""
-    similar = item_similarity(matrix, group="product_id", item="customer_id").select(F.col("a").alias("customer_id"), F.col("b").alias("other"), F.col("similarity").alias("score"))
-    near = top_n(similar, neighbours, "customer_id", "other").select("customer_id", "other", F.col("score").alias("sim"))
+    near = nearest_cosine(matrix, "customer_id", "product_id", neighbours).select("customer_id", "other", F.col("score").alias("sim"))
     theirs = matrix.select(F.col("customer_id").alias("other"), "product_id", "qty")
     scores = near.join(theirs, "other").groupBy("customer_id", "product_id").agg(F.sum(F.col("sim") * F.col("qty")).alias("score"))
     return top_n(scores.join(matrix.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti"), n)

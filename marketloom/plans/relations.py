@@ -31,6 +31,9 @@ query("r2_item_similarity_cosine", "product_id:i neighbours:i mean_similarity:d6
 query("r2_item_similarity_jaccard", "product_id:i neighbours:i mean_similarity:d6 max_similarity:d6",
       _UI + "sz AS (SELECT product_id, COUNT(*) n FROM ui GROUP BY 1), sh AS (SELECT x.product_id AS a, y.product_id AS b, COUNT(*) s FROM ui x JOIN ui y ON x.customer_id = y.customer_id AND x.product_id <> y.product_id GROUP BY 1, 2), "
       "jc AS (SELECT a, b, s / (p.n + q.n - s) AS similarity FROM sh JOIN sz p ON p.product_id = a JOIN sz q ON q.product_id = b) " + _PER.replace("{s}", "jc"))(lambda c: _per_item(rec.item_similarity(matrix(c), "jaccard")))
+query("r2_similar_items", "product_id:i other:i score:d6 rank:i",
+      _SIM + "z AS (SELECT 1) SELECT a AS product_id, b AS other, ROUND(similarity, 9) AS score, ROW_NUMBER() OVER (PARTITION BY a ORDER BY ROUND(similarity, 9) DESC, b) AS rank FROM sim QUALIFY rank <= 10")(
+    lambda c: rec.nearest_cosine(matrix(c), "product_id", "customer_id", 10))
 _POP = "pop AS (SELECT product_id, SUM(quantity) AS total_quantity, SUM(line_total) AS total_revenue, COUNT(DISTINCT order_id) AS num_orders, SUM(quantity) * 0.5 + COUNT(DISTINCT order_id) * 0.5 AS popularity_score FROM itm GROUP BY 1 ORDER BY popularity_score DESC, product_id LIMIT 100)"
 query("r3_popular_products", "product_id:i total_quantity:i total_revenue:d2 num_orders:i popularity_score:d1", "WITH " + _POP + " SELECT * FROM pop")(lambda c: rec.popular_products(c.order_items))
 _REC_SPEC = "customer_id:i product_id:i score:d6 rank:i"
@@ -143,6 +146,13 @@ query("g3_communities", "community_id:i node:i community_size:i",
 pr AS (SELECT x.customer_id a, y.customer_id b, COUNT(*) s FROM be x JOIN be y ON x.kind = y.kind AND x.customer_id <> y.customer_id GROUP BY 1, 2), jp AS (SELECT a, b FROM pr JOIN bd p ON p.customer_id = a JOIN bd q ON q.customer_id = b WHERE s / (p.n + q.n - s) > 0.3),
 wa AS (SELECT customer_id AS node, customer_id AS seen FROM bd UNION SELECT wa.node, jp.b FROM wa JOIN jp ON jp.a = wa.seen), lb AS (SELECT node, MIN(seen) AS community_id FROM wa GROUP BY 1)
 SELECT *, COUNT(*) OVER (PARTITION BY community_id) AS community_size FROM lb QUALIFY community_size >= 5""")(lambda c: graph.communities(_brand_edges(c), "customer_id", "kind", 0.3, 5))
+_GROUPS = _ED.replace("WITH", "WITH RECURSIVE", 1) + """pr AS (SELECT x.{n} a, y.{n} b, COUNT(*) s FROM ed x JOIN ed y ON x.{o} = y.{o} AND x.{n} <> y.{n} GROUP BY 1, 2), jp AS (SELECT a, b FROM pr JOIN {d} p ON p.{n} = a JOIN {d} q ON q.{n} = b WHERE s / (p.d + q.d - s) > {t}),
+wa AS (SELECT {n} AS node, {n} AS seen FROM {d} UNION SELECT wa.node, jp.b FROM wa JOIN jp ON jp.a = wa.seen), lb AS (SELECT node, MIN(seen) AS community_id FROM wa GROUP BY 1)
+SELECT *, COUNT(*) OVER (PARTITION BY community_id) AS community_size FROM lb"""
+# baskets here are random: at 0.3 nodes mostly stand alone, so communities of one are shown too
+for _node, _other, _deg, _at in (("customer_id", "product_id", "dc", 0.3), ("product_id", "customer_id", "dp", 0.12)):
+    query(f"g3_{_node[:-3]}_communities", "community_id:i node:i community_size:i", _GROUPS.replace("{n}", _node).replace("{o}", _other).replace("{d}", _deg).replace("{t}", str(_at)))(
+        lambda c, n=_node, o=_other, t=_at: graph.communities(edges(c), n, o, t, 1))
 query("g4_shortest_paths", "node:s distance:i previous:s",
       """WITH RECURSIVE lk AS (SELECT DISTINCT 'c' || customer_id AS x, 'p' || product_id AS y FROM itm JOIN ord USING (order_id)), l2 AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk),
 s0 AS (SELECT 'c1' AS node, 0 AS distance, CAST(NULL AS VARCHAR) AS previous), s1 AS (SELECT y AS node, 1 AS distance, MIN(x) AS previous FROM s0 JOIN l2 ON x = node WHERE y NOT IN (SELECT node FROM s0) GROUP BY 1), r1 AS (FROM s0 UNION ALL FROM s1),
