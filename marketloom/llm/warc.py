@@ -74,9 +74,17 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def train(pages: DataFrame, html_col: str = "html") -> bytes:
-    """A dictionary from the pages with the smallest hashes; empty if they are too few."""
+    """A dictionary from up to ``SAMPLE_PAGES`` different pages with the smallest hashes; empty if they are too few.
+
+    The number of different pages bounds the hash, so that all tasks together send about
+    twice as many starts of pages as are chosen, whatever the size of the table.
+    """
     text = payload(F.col(html_col).cast("string"))
-    chosen = pages.select(text.alias("p")).orderBy(F.xxhash64("p")).select(F.substring("p", 1, SAMPLE_BYTES).alias("p")).limit(SAMPLE_PAGES)
+    starts = pages.select(F.xxhash64(text).alias("h"), F.substring(text, 1, SAMPLE_BYTES).alias("p"))
+    different = starts.agg(F.approx_count_distinct("h")).first()[0]
+    if different > 2 * SAMPLE_PAGES:
+        starts = starts.filter(F.col("h") < int(2**64 * (2 * SAMPLE_PAGES / different)) - 2**63)
+    chosen = starts.groupBy("h").agg(F.min("p").alias("p")).orderBy("h").limit(SAMPLE_PAGES).select("p")
     parts = [bytes(r["p"]) for r in chosen.collect() if len(r["p"]) >= 8]
     total = sum(map(len, parts))
     return zstandard.train_dictionary(min(DICTIONARY, total // 8), parts).as_bytes() if len(parts) >= 64 and total >= 64 << 10 else b""
