@@ -49,6 +49,16 @@ ACTIONS = {
 #: Fixed value: the action of any other category.
 GENERAL_ACTION = ("General review", 0.10, "Manual investigation", "1 week")
 
+#: Who acts on an alert of each category.
+OWNERS = {
+    "ANOMALY": "Head of Operations + Data Analyst",
+    "CUSTOMER": "Customer Success + Marketing",
+    "INVENTORY": "Operations + Procurement",
+    "PRODUCT": "Merchandising + Category Manager",
+    "MARKETING": "Digital Marketing Lead",
+}
+OTHER_OWNER = "TBD"
+
 
 def _priority_score(priority: Column) -> Column:
     return F.coalesce(*[F.when(priority == k, v) for k, v in PRIORITY.items()], F.lit(20))
@@ -82,13 +92,14 @@ def executive_alerts(anomalies: DataFrame, churn: DataFrame, inventory: DataFram
 
 
 def alert_recommendations(alerts: DataFrame) -> DataFrame:
-    """Three actions per alert with their share of the impact; a general review for other categories."""
+    """Three actions per alert with their share of the impact, an owner and the status OPEN; a general review for other categories."""
     steps = lambda ts: F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(a).alias("recommendation"), F.lit(f).alias("factor"), F.lit(d).alias("action_details"), F.lit(t).alias("timeline")) for i, (a, f, d, t) in enumerate(ts)])
     chosen = F.coalesce(*[F.when(F.col("category") == c, steps(ts)) for c, ts in ACTIONS.items()], steps([GENERAL_ACTION]))
     out = alerts.select("alert_rank", "category", "subject", "priority", "priority_score", "impact_revenue_inr", "impact_customers", F.explode(chosen).alias("t"))
     return out.select(
-        "alert_rank", "category", "subject", "priority", "t.step", "t.recommendation", "t.action_details", "t.timeline", F.round(F.col("t.factor") * 100, 0).alias("estimated_impact_pct"),
-        F.round(F.col("impact_revenue_inr") * F.col("t.factor"), 0).alias("estimated_revenue_impact_inr"), F.round(F.col("impact_customers") * F.col("t.factor"), 0).alias("estimated_customers_impact"))
+        "alert_rank", "category", "subject", "priority", "t.step", F.concat(F.left("subject", F.lit(80)), F.lit(" → "), F.col("t.recommendation")).alias("recommendation"), "t.action_details", "t.timeline", F.round(F.col("t.factor") * 100, 0).alias("estimated_impact_pct"),
+        F.round(F.col("impact_revenue_inr") * F.col("t.factor"), 0).alias("estimated_revenue_impact_inr"), F.round(F.col("impact_customers") * F.col("t.factor"), 0).alias("estimated_customers_impact"),
+        F.coalesce(*[F.when(F.col("category") == c, F.lit(who)) for c, who in OWNERS.items()], F.lit(OTHER_OWNER)).alias("owner"), F.lit("OPEN").alias("status"))
 
 
 def decision_summary(recommendations: DataFrame) -> DataFrame:

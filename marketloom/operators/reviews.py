@@ -71,10 +71,24 @@ def model_sentiment(model, reviews: DataFrame, text: str = "review_text") -> Dat
         "sentiment_score", F.greatest(F.col("positive_probability"), 1 - F.col("positive_probability")))
 
 
-def analyze_reviews(reviews: DataFrame, keywords: Mapping[str, Sequence[str]] = ASPECT_KEYWORDS) -> DataFrame:
-    """Aspects and rating sentiment per review."""
-    label = rating_sentiment(F.col("rating"))
-    return extract_aspects(reviews, keywords=keywords).withColumn("overall_sentiment", label).withColumn("sentiment_score", F.col("rating") / 5.0)
+def analyze_reviews(
+    reviews: DataFrame, keywords: Mapping[str, Sequence[str]] = ASPECT_KEYWORDS, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS, model=None, text: str = "review_text"
+) -> DataFrame:
+    """Aspects and sentiment of each text; the sentiment comes from the text, not from the rating.
+
+    ``model`` is one of ``train_sentiment``; without it the words of the lexicon decide, and a text
+    with as many good as bad words is neutral.  ``sentiment_score`` is how sure the label is, 0.5 to 1;
+    a missing or empty text is neutral with 0.5.
+    """
+    rows = extract_aspects(reviews, text, keywords)
+    if model is None:
+        found = lexicon_sentiment(rows, text, positive, negative)
+        p = F.col("lexicon_score")
+        scored = found.withColumn("overall_sentiment", F.col("lexicon_sentiment")).withColumn("sentiment_score", F.greatest(p, 1 - p))
+        return scored.drop("positive_hits", "negative_hits", "lexicon_sentiment", "lexicon_score")
+    scored = model_sentiment(model, rows, text).drop("positive_probability")
+    empty = F.coalesce(F.length(text), F.lit(0)) == 0
+    return scored.withColumn("overall_sentiment", F.when(empty, "NEUTRAL").otherwise(F.col("overall_sentiment"))).withColumn("sentiment_score", F.when(empty, 0.5).otherwise(F.col("sentiment_score")))
 
 
 def _share(label: str) -> Column:

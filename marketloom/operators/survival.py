@@ -112,6 +112,30 @@ def _cox_sums(df: DataFrame, x: Sequence[Column], beta: np.ndarray) -> list:
     return df.groupBy("duration").agg(*cols).orderBy(F.col("duration").desc()).collect()
 
 
+def tie_sums(at_risk: float, tied: float, d: int) -> np.ndarray:
+    """Sums over f = 0, 1/d, .. (d-1)/d of 1/a, f/a, 1/a^2, f/a^2 and (f/a)^2 for a = at_risk - f * tied.
+
+    Many ties are summed in closed form: with u = at_risk * d / tied the sums of 1/(u - l) and its
+    square over l are differences of the digamma and trigamma functions; the 64 terms next to the
+    possible pole are added one by one, which leaves arguments large enough for their expansions.
+    """
+    if d <= 4096:
+        frac = np.arange(d) / d
+        inverse = 1 / (at_risk - frac * tied)
+        return np.array([inverse.sum(), (frac * inverse).sum(), (inverse**2).sum(), (frac * inverse**2).sum(), (frac**2 * inverse**2).sum()])
+    r = tied / at_risk
+    if r < 1e-6:
+        # two terms of 1 / (1 - f r) are exact to a double where it matters
+        f1, f2 = (d - 1) / 2, (d - 1) * (2 * d - 1) / (6 * d)
+        return np.array([(d + r * f1) / at_risk, (f1 + r * f2) / at_risk, (d + 2 * r * f1) / at_risk**2, (f1 + 2 * r * f2) / at_risk**2, f2 / at_risk**2])
+    c, u, n = tied / d, at_risk * d / tied, d - 64
+    last = u - np.arange(n, d)
+    x, y = u + 1, u + 1 - n
+    one = -np.log1p(-n / x) + n / (2 * x * y) + (y**-2 - x**-2) / 12 - (y**-4 - x**-4) / 120 + (y**-6 - x**-6) / 252 + (1 / last).sum()
+    two = n / (x * y) + (y**-2 - x**-2) / 2 + (y**-3 - x**-3) / 6 - (y**-5 - x**-5) / 30 + (y**-7 - x**-7) / 42 + (last**-2.0).sum()
+    return np.array([one / c, (u * one - d) / (c * d), two / c**2, (u * two - one) / (c**2 * d), (u**2 * two - 2 * u * one + d) / (c * d) ** 2])
+
+
 def fit_cox(df: DataFrame, covariates: Sequence[str], iterations: int = 50) -> DataFrame:
     """Proportional hazards coefficients by Newton steps with Efron's handling of ties.
 
@@ -141,12 +165,7 @@ def fit_cox(df: DataFrame, covariates: Sequence[str], iterations: int = 50) -> D
             e1 = np.array([row[f"e{i + 1}"] for i in range(k)])
             e2 = np.array([[row[f"e{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
             gradient += np.array([row[f"x{i}"] for i in range(k)])
-            # sums over the tied events of 1/a0, frac/a0, 1/a0^2, ...: arrays of bounded size, whatever the day's events
-            t = np.zeros(5)
-            for low in range(0, d, 1 << 16):
-                frac = np.arange(low, min(d, low + (1 << 16))) / d
-                inverse = 1 / (s0 - frac * row["e0"])
-                t += [inverse.sum(), (frac * inverse).sum(), (inverse**2).sum(), (frac * inverse**2).sum(), (frac**2 * inverse**2).sum()]
+            t = tie_sums(s0, row["e0"], d)
             gradient -= s1 * t[0] - e1 * t[1]
             cross = np.outer(s1, e1)
             information += s2 * t[0] - e2 * t[1] - (np.outer(s1, s1) * t[2] - (cross + cross.T) * t[3] + np.outer(e1, e1) * t[4])

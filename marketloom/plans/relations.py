@@ -206,12 +206,12 @@ SELECT g.*, COALESCE(n, 0) AS n_customers, COALESCE(s, 0) AS total_demand, COALE
 WORDS = {"quality": ("erat", "eran"), "price": ("anedble", "thst"), "shipping": ("thor", "onre"), "service": ("eriner", "erwh"), "fit": ("onnd", "ernt"), "appearance": ("anea", "onsh")}
 _GOOD, _BAD = ("best", "able", "thing"), ("eror", "thwh", "un")
 _hit = lambda words: " + ".join(f"CASE WHEN contains(lower(review_text), '{w}') THEN 1 ELSE 0 END" for w in words)
-_AN = "WITH an AS (SELECT *, " + ", ".join(f"{_hit(w)} AS h_{a}" for a, w in WORDS.items()) + ", CASE WHEN rating >= 4 THEN 'POSITIVE' WHEN rating <= 2 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS overall_sentiment, rating / 5 AS sentiment_score FROM rev), asp AS (" + " UNION ALL ".join(
+_AN = f"WITH hit AS (SELECT *, {_hit(_GOOD)} AS good, {_hit(_BAD)} AS bad FROM rev), an AS (SELECT *, " + ", ".join(f"{_hit(w)} AS h_{a}" for a, w in WORDS.items()) + ", CASE WHEN good > bad THEN 'POSITIVE' WHEN good < bad THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS overall_sentiment, (greatest(good, bad) + 1) / (good + bad + 2) AS sentiment_score FROM hit), asp AS (" + " UNION ALL ".join(
     f"SELECT review_id, product_id, overall_sentiment, '{a}' AS aspect, h_{a} AS hits FROM an WHERE h_{a} > 0" for a in WORDS) + ") "
 
 
 def analyzed(c):
-    return reviews.analyze_reviews(c.reviews, WORDS)
+    return reviews.analyze_reviews(c.reviews, WORDS, _GOOD, _BAD)
 
 
 query("x1_extract_aspects", "review_id:i aspect:s hits:i", _AN + "SELECT * FROM asp")(lambda c: reviews.extract_aspects(c.reviews, keywords=WORDS).select("review_id", F.explode("aspects").alias("aspect", "hits")))
@@ -228,4 +228,5 @@ query("x6_compare_products", "product_id:i " + _SUM_SPEC + " n_aspects_mentioned
 query("x7_lexicon_sentiment", "review_id:i positive_hits:i negative_hits:i lexicon_sentiment:s lexicon_score:d6",
       f"WITH h AS (SELECT review_id, {_hit(_GOOD)} AS positive_hits, {_hit(_BAD)} AS negative_hits FROM rev) SELECT *, CASE WHEN positive_hits > negative_hits THEN 'POSITIVE' WHEN positive_hits < negative_hits THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS lexicon_sentiment, (positive_hits + 1) / (positive_hits + negative_hits + 2) AS lexicon_score FROM h")(
     lambda c: reviews.lexicon_sentiment(c.reviews, positive=_GOOD, negative=_BAD))
+query("x4_model_summary", _SUM_SPEC)(lambda c: reviews.review_summary(reviews.analyze_reviews(c.reviews, WORDS, model=reviews.train_sentiment(c.reviews))))
 query("x7_model_sentiment", "review_id:i overall_sentiment:s sentiment_score:d4")(lambda c: reviews.model_sentiment(reviews.train_sentiment(c.reviews), c.reviews))

@@ -96,10 +96,10 @@ ab AS (SELECT *, CASE priority WHEN 'CRITICAL' THEN 100 WHEN 'HIGH' THEN 50 WHEN
 """)
 _ACT = ", tm AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{cat}', {i + 1}, '{a.replace(chr(39), chr(39) * 2)}', {f}, '{t}')" for cat, rows in decisions.ACTIONS.items() for i, (a, f, _, t) in enumerate(rows)) + """) v(category, step, recommendation, factor, timeline)),
-rc AS (SELECT ac.*, step, recommendation, timeline, ROUND(factor * 100) AS estimated_impact_pct, ROUND(impact_revenue_inr * factor) AS estimated_revenue_impact_inr, ROUND(impact_customers * factor) AS estimated_customers_impact FROM ac JOIN tm USING (category))
+rc AS (SELECT ac.*, step, left(subject, 80) || ' → ' || recommendation AS recommendation, timeline, CASE category """ + " ".join(f"WHEN '{cat}' THEN '{who}'" for cat, who in decisions.OWNERS.items()) + """ ELSE 'TBD' END AS owner, 'OPEN' AS status, ROUND(factor * 100) AS estimated_impact_pct, ROUND(impact_revenue_inr * factor) AS estimated_revenue_impact_inr, ROUND(impact_customers * factor) AS estimated_customers_impact FROM ac JOIN tm USING (category))
 """
 query("d10_executive_alerts", "alert_rank:i category:s priority:s priority_score:i subject:s impact_revenue_inr:d0 impact_customers:i n_items:i", _AL + "SELECT * FROM ac")(alerts)
-query("d11_alert_recommendations", "alert_rank:i category:s priority:s step:i recommendation:s timeline:s estimated_impact_pct:d0 estimated_revenue_impact_inr:d0 estimated_customers_impact:d0", _AL + _ACT + "SELECT * FROM rc")(
+query("d11_alert_recommendations", "alert_rank:i category:s priority:s step:i recommendation:s timeline:s estimated_impact_pct:d0 estimated_revenue_impact_inr:d0 estimated_customers_impact:d0 owner:s status:s", _AL + _ACT + "SELECT * FROM rc")(
     lambda c: decisions.alert_recommendations(alerts(c)))
 query("d12_decision_summary", "category:s alerts:i recommendations:i potential_revenue_inr:d0 customers_retained:d0",
       _AL + _ACT + "SELECT category, COUNT(DISTINCT alert_rank) AS alerts, COUNT(*) AS recommendations, SUM(estimated_revenue_impact_inr) AS potential_revenue_inr, SUM(estimated_customers_impact) AS customers_retained FROM rc GROUP BY 1")(

@@ -97,7 +97,7 @@ PRODUCT_COLUMNS = {
     "brand_name": "p_brand",
     "category_name": "p_type",
     "subcategory": "p_type || ' ' || CAST(p_size % 3 AS VARCHAR(10))",
-    "supplier_id": "p_partkey % n_suppliers",
+    "supplier_id": "p_partkey % NULLIF(n_suppliers, 0)",
     "selling_price": "CAST(p_retailprice AS DECIMAL(12,2))",
     "cost_price": "CAST(ROUND(CAST(p_retailprice AS DECIMAL(12,2)) * CAST(0.7 AS DECIMAL(2,1)), 2) AS DECIMAL(12,2))",
     "launch_date": "DATE '1995-01-01' + CAST(p_partkey % 365 AS INT)",

@@ -314,7 +314,32 @@ def test_alerts_of_other_categories_get_a_general_review(spark):
 
     alerts = spark.createDataFrame([(1, "WEATHER", "storm", "HIGH", 50, 1000.0, 20)], "alert_rank int, category string, subject string, priority string, priority_score int, impact_revenue_inr double, impact_customers long")
     row = decisions.alert_recommendations(alerts).collect()
-    assert [(r.recommendation, r.estimated_impact_pct, r.estimated_revenue_impact_inr) for r in row] == [("General review", 10.0, 100.0)]
+    assert [(r.recommendation, r.estimated_impact_pct, r.estimated_revenue_impact_inr, r.owner, r.status) for r in row] == [("storm → General review", 10.0, 100.0, "TBD", "OPEN")]
+
+
+def test_tied_events_in_closed_form():
+    import numpy as np
+
+    from marketloom.operators.survival import tie_sums
+
+    for at_risk, tied, d in ((5000.0, 5000.0, 4500), (1e6, 300.0, 200_000), (123_456.0, 120_000.0, 100_000), (1e9, 900.0, 5000), (1e9, 1100.0, 5000), (10.0, 9.0, 3), (7.0, 2.0, 1)):
+        f = np.arange(d) / d
+        a = at_risk - f * tied
+        want = np.array([(1 / a).sum(), (f / a).sum(), (a**-2).sum(), (f / a**2).sum(), ((f / a) ** 2).sum()])
+        # the fractions enter the fit times tied / at_risk
+        weight = (tied / at_risk) ** np.array([0, 1, 0, 1, 2])
+        assert (abs(tie_sums(at_risk, tied, d) - want) * weight <= 1e-11 * want[[0, 0, 2, 2, 2]]).all()
+    assert tie_sums(1e12, 9e11, 900_000_000).shape == (5,)
+
+
+def test_sentiment_comes_from_the_text(spark):
+    from marketloom.operators import reviews
+
+    rows = [(1, 5, "Terrible, poor build"), (2, None, "great value, LOVE it"), (3, 1, "good but hard"), (4, 4, None), (5, 4, "")]
+    out = reviews.analyze_reviews(spark.createDataFrame(rows, "review_id int, rating int, review_text string"))
+    got = {r.review_id: (r.overall_sentiment, r.sentiment_score) for r in out.collect()}
+    assert got == {1: ("NEGATIVE", 0.75), 2: ("POSITIVE", 0.75), 3: ("NEUTRAL", 0.5), 4: ("NEUTRAL", 0.5), 5: ("NEUTRAL", 0.5)}
+    assert out.columns == ["review_id", "rating", "review_text", "aspects", "overall_sentiment", "sentiment_score"]
 
 
 def test_negatives_do_not_depend_on_ids(spark):
