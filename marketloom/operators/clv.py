@@ -77,10 +77,13 @@ def _batched(data: DataFrame, columns: Sequence[str], loglik: Callable[..., np.n
     return evaluate
 
 
-def maximize(evaluate: Callable[[list[np.ndarray]], np.ndarray], start: Sequence[float], iterations: int = 25, tol: float = 1e-6) -> tuple[np.ndarray, bool]:
+def maximize(evaluate: Callable[[list[np.ndarray]], np.ndarray], start: Sequence[float], iterations: int = 25, tol: float = 1e-4) -> tuple[np.ndarray, bool]:
     """Damped Newton ascent on the logarithms of positive parameters; the point, and whether it is a maximum.
 
-    Data whose likelihood rises without end have none; the last point is returned then.
+    A maximum is a point of negative curvature whose Newton step, gradient over curvature, moves no
+    parameter by more than the share ``tol``; that step is still taken.  Data whose likelihood rises
+    without end have none, and a line search may find nothing better elsewhere: the last point is
+    returned then, marked as no maximum.
 
     Each iteration asks for all finite-difference points at once, then for a set
     of step lengths: two passes over the data whatever the number of parameters.
@@ -108,6 +111,11 @@ def maximize(evaluate: Callable[[list[np.ndarray]], np.ndarray], start: Sequence
         for n, (i, j) in enumerate(pairs):
             hessian[i, j] = hessian[j, i] = (f[2 * k + 1 + n] - up[i] - up[j] + f[0]) / h**2
         values, vectors = np.linalg.eigh(hessian)
+        if values.max() < 0:
+            newton = vectors @ ((vectors.T @ gradient) / -values)
+            if np.max(np.abs(newton)) <= tol:
+                theta, converged = theta + newton, True
+                break
         curvature = np.maximum(np.abs(values), 1e-3 * max(1.0, float(np.max(np.abs(values)))))
         direction = vectors @ ((vectors.T @ gradient) / curvature)
         direction *= min(1.0, 2.0 / max(float(np.max(np.abs(direction))), 1e-12))
@@ -115,12 +123,8 @@ def maximize(evaluate: Callable[[list[np.ndarray]], np.ndarray], start: Sequence
         scores = evaluate([theta + s * direction for s in lengths])
         best = int(np.argmax(scores))
         if not scores[best] > f[0]:
-            converged = True
             break
         theta = theta + lengths[best] * direction
-        if scores[best] - f[0] < tol * max(1.0, abs(f[0])) * 1e-3:
-            converged = True
-            break
     return np.exp(theta), converged
 
 

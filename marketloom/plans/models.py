@@ -23,8 +23,8 @@ def summary(c):
 
 
 query("l1_purchase_summary", "customer_id:i frequency:i recency:i T:i days_since_last:i monetary_value:d2", _SUM + "z AS (SELECT 1) SELECT * FROM ps")(summary)
-query("l2_fit_purchase_model", "r:d3 alpha:d2 a:d3 b:d3")(lambda c: clv.parameter_row(c.orders, clv.fit_purchase_model(summary(c))))
-query("l3_fit_spend_model", "p:d3 q:d3 gamma:d1")(lambda c: clv.parameter_row(c.orders, clv.fit_spend_model(summary(c))))
+query("l2_fit_purchase_model", "r:d3 alpha:d2 a:d3 b:d3 converged:i")(lambda c: clv.parameter_row(c.orders, clv.fit_purchase_model(summary(c))))
+query("l3_fit_spend_model", "p:d3 q:d3 gamma:d1 converged:i")(lambda c: clv.parameter_row(c.orders, clv.fit_spend_model(summary(c))))
 _ODDS = "CASE WHEN frequency > 1 THEN exp(ln(1.4) - ln(6.0 + frequency - 2) + (1.5 + frequency - 1) * (ln(300 + \"T\") - ln(300 + recency))) ELSE 0 END"
 query("l4_probability_alive", "customer_id:i p_alive:d6", _SUM + f"z AS (SELECT 1) SELECT customer_id, 1 / (1 + {_ODDS}) AS p_alive FROM ps")(lambda c: clv.predict_alive(summary(c), BUY))
 _TX = _SUM + f"""hg AS (SELECT customer_id, k, ln((1.5 + frequency - 1 + k) * (6.0 + frequency - 1 + k) / ((1.4 + 6.0 + frequency - 2 + k) * (k + 1)) * (90 / (300 + "T" + 90))) l FROM ps, range(2500) r(k)),
@@ -95,10 +95,29 @@ SELECT customer_id, clv AS probabilistic_clv, m AS ml_clv, hv AS historical_clv,
         c.valid_orders.filter("order_date <= DATE '2000-08-01'").groupBy("customer_id").agg(F.sum("order_total").cast("double").alias("value"))))
 
 
+def _fitted(c):
+    bought = summary(c)
+    return bought, clv.fit_purchase_model(bought), clv.fit_spend_model(bought)
+
+
+def _fitted_alive(c):
+    bought = summary(c)
+    bought_by = clv.fit_purchase_model(bought)
+    return clv.predict_alive(bought, bought_by).withColumn("converged", F.lit(int(bought_by["converged"])))
+
+
+def _fitted_value(c):
+    bought, bought_by, spent = _fitted(c)
+    return clv.predict_value(bought, bought_by, spent, 90).withColumn("converged", F.lit(int(min(bought_by["converged"], spent["converged"]))))
+
+
+query("l4_fitted_alive", "customer_id:i p_alive:d4 converged:i")(_fitted_alive)
+query("l6_fitted_value", "customer_id:i clv:d2 converged:i")(_fitted_value)
+
+
 def _estimates(c):
     """The fitted models over the same 365 days, for every customer with a purchase summary."""
-    bought, learned = summary(c), _learned(c)
-    expected = clv.predict_value(bought, clv.fit_purchase_model(bought), clv.fit_spend_model(bought), 365)
+    expected, learned = clv.predict_value(*_fitted(c), 365), _learned(c)
     return clv.compare_approaches(*(df.select("customer_id", F.col(name).alias("value")) for df, name in ((expected, "clv"), (learned, "predicted_clv"), (learned, "historical_clv"))))
 
 

@@ -21,3 +21,37 @@ def test_every_customer_is_compared_with_the_model(spark, data_path):
                 assert value is None
             elif y > 100:
                 assert value == pytest.approx(x / y, rel=1e-3, abs=1e-3)
+
+
+def test_only_a_maximum_counts_as_convergence():
+    import numpy as np
+
+    from marketloom.operators.clv import maximize
+
+    hill = lambda points: np.array([-1000 * np.sum(np.cosh(p - np.array([1.0, -2.0]))) for p in points])
+    rising = lambda points: np.array([-1000 * np.exp(-p[0]) - p[1] ** 2 for p in points])
+    kink = lambda points: np.array([-1000 * abs(p[0] - 0.3) - p[1] ** 2 for p in points])
+    found, converged = maximize(hill, (1.0, 1.0))
+    assert converged and np.allclose(np.log(found), [1.0, -2.0], atol=1e-6)
+    assert not maximize(rising, (1.0, 1.0))[1]
+    assert not maximize(kink, (1.0, 1.0))[1]
+
+
+def test_a_fit_of_simulated_spend_is_a_maximum_near_the_truth(spark):
+    import numpy as np
+
+    from marketloom.operators import clv
+
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 12, 6000)
+    mean = rng.gamma(4.0 * n) / n / (rng.gamma(3.5, size=6000) / 500.0)
+    bought = spark.createDataFrame(list(zip(n.tolist(), mean.tolist())), "frequency long, monetary_value double").coalesce(4)
+    fit = clv.fit_spend_model(bought)
+    assert fit["converged"] == 1
+    data = bought.selectExpr("frequency AS x", "monetary_value AS m", "1 AS w")
+    at = np.log([fit["p"], fit["q"], fit["gamma"]])
+    f = clv._batched(data, ["x", "m"], clv._spend_loglik)([at, *[at + s * 1e-3 * np.eye(3)[i] for i in range(3) for s in (1, -1)], np.log([4.0, 3.5, 500.0])])
+    # likelihood ratio against the truth: 99.9 % of a chi-square with three degrees of freedom
+    assert 0 <= 2 * (f[0] - f[-1]) <= 16.27
+    # per customer
+    assert (abs(f[1:7:2] - f[2:7:2]) / 2e-3 <= 1e-4 * 6000).all()
