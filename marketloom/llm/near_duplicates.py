@@ -1,10 +1,12 @@
 """Near-duplicate documents: five-word shingle sets with a Jaccard index of at least 0.8.
 
-A SimHash radius wide enough for that index (pairs differ in five or six of 64 bits, many in
-more) is out of reach of Golay keys of three segments, so candidates come from MinHash bands:
-``BANDS`` keys of ``ROWS`` minima each.  A pair of index j shares a key with probability
-1 - (1 - j^ROWS)^BANDS, which is 0.9999995 at 0.8 and more above.  Candidates are verified by
-the exact index of their shingle sets, so nothing below the threshold is linked.
+Candidates come in two steps.  The SimHash operator (``simhash.links``) fingerprints the shingle
+sets and brings together, by Golay keys, the fingerprints that differ in two bits at most.  Its
+radius is too small for the index alone (pairs at 0.8 differ in five or six of 64 bits, many in
+more), so MinHash bands find the rest: ``BANDS`` keys of ``ROWS`` minima each.  A pair of index j
+shares a key with probability 1 - (1 - j^ROWS)^BANDS, which is 0.9999995 at 0.8 and more above.
+Candidates of both are verified by the exact index of their shingle sets, so nothing below the
+threshold is linked.
 
 Equal shingle sets are one class, named by one hash; a second hash tells classes apart that share
 it (``told_apart``).  A key with up to ``PAIR_LIMIT`` classes compares all pairs.  In a key with
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.shared import materialize
+from marketloom.llm import simhash
 from marketloom.llm.batches import encoded, split_batches
 from marketloom.llm.simhash import hashed, one_of_each, shingles
 from marketloom.operators.graph import connected_components
@@ -78,14 +81,15 @@ def _mark_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         again = np.array([xxhash.xxh64_intdigest(s.tobytes(), 1) for s in sets], np.uint64).view(np.int64)
         sizes = np.array([len(s) for s in sets], np.int32)
         some = [s for s in sets if len(s)]
+        fps = simhash.signatures(np.concatenate(sets), sizes).view(np.int64)
         keys = band_keys(some).view(np.int64).ravel() if some else np.empty(0, np.int64)
         ends = np.r_[0, np.cumsum((sizes > 0) * BANDS)].astype(np.int32)
-        yield pa.record_batch([part.column(0), part.column(1), pa.array(nodes), pa.array(again), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], ["doc_id", "text_hash", "node", "again", "n", "keys"])
+        yield pa.record_batch([part.column(0), part.column(1), pa.array(nodes), pa.array(again), pa.array(sizes), pa.array(fps), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], ["doc_id", "text_hash", "node", "again", "n", "fp", "keys"])
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """doc_id, ``text_hash``, ``node`` (the class), ``again`` (its second hash), ``n`` (distinct shingles) and band ``keys`` of every row."""
-    return hashed(docs).mapInArrow(_mark_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, node bigint, again bigint, n int, keys array<bigint>")
+    """doc_id, ``text_hash``, ``node`` (the class), ``again`` (its second hash), ``n`` (distinct shingles), ``fp`` (their fingerprint) and band ``keys`` of every row."""
+    return hashed(docs).mapInArrow(_mark_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, node bigint, again bigint, n int, fp bigint, keys array<bigint>")
 
 
 def told_apart(marked: DataFrame) -> DataFrame:
@@ -147,9 +151,23 @@ def _ordered(x: str, y: str) -> list:
 _SIZES = "5 * least(n, m) >= 4 * greatest(n, m)"
 
 
+def close_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that the SimHash operator links: fingerprints ``fp`` within two bits.
+
+    Classes of one fingerprint meet the first of them, which meets those of other fingerprints.
+    """
+    first = materialize(classes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("_first")))
+    heads = first.select("fp", F.col("_first.node").alias("head"), F.col("_first.n").alias("m"))
+    same = classes.join(heads, "fp").filter(f"node != head AND {_SIZES}").select(*_ordered("node", "head"))
+    met = simhash.links(heads.select("fp")).join(heads.toDF("a", "node", "n"), "a").join(heads.toDF("b", "head", "m"), "b")
+    return same.union(met.filter(_SIZES).select(*_ordered("node", "head")))
+
+
 def labels(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """node and ``label`` of every class that has a link."""
-    keyed = marked.dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
+    classes = marked.dropDuplicates(["node"])
+    close = close_pairs(classes.select("node", "n", "fp"))
+    keyed = classes.select("node", "n", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     shared = materialize(keyed.join(sizes, "key"))
     few = shared.filter(F.col("classes") <= PAIR_LIMIT).select("key", "node", "n")
@@ -158,7 +176,7 @@ def labels(docs: DataFrame, marked: DataFrame) -> DataFrame:
     popular = many.groupBy("node").agg(F.sum("classes").alias("popular"))
     heads = many.join(popular, "node").groupBy("key").agg(F.max(F.struct("popular", "node", "n")).alias("head"))
     stars = many.join(heads, "key").select("node", "n", F.col("head.node").alias("with"), F.col("head.n").alias("m")).filter(f"node != with AND {_SIZES}").select(*_ordered("node", "with"))
-    wanted = materialize(pairs.union(stars).distinct())
+    wanted = materialize(close.union(pairs).union(stars).distinct())
     links = verified(wanted, sets_of(docs, marked, wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     found = connected_components(links)
     # what the stars left apart

@@ -57,6 +57,19 @@ def shingles(text: bytes, size: int = 3) -> list[bytes]:
     return [joined[a:b - 1] for a, b in zip(starts, ends[size - 1:])]
 
 
+def signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of ``counts`` hashes as unsigned 64-bit integers; of none: zero."""
+    out = np.zeros(len(counts), np.uint64)
+    n = np.asarray(counts, np.int64)
+    some = np.flatnonzero(n)
+    if len(some):
+        bits = np.unpackbits(np.asarray(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        starts = (np.cumsum(n) - n)[some]
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        out[some] = np.packbits(2 * ones > n[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def fingerprints_of(texts: list[bytes], size: int = 3) -> np.ndarray:
     """The fingerprint of each text as unsigned 64-bit integers."""
     hashes, counts = [], []
@@ -65,15 +78,7 @@ def fingerprints_of(texts: list[bytes], size: int = 3) -> np.ndarray:
         found = [digest(s, 42) for s in shingles(t, size)]
         hashes += found
         counts.append(len(found))
-    out = np.zeros(len(texts), np.uint64)
-    n = np.array(counts, np.int64)
-    some = np.flatnonzero(n)
-    if len(some):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = (np.cumsum(n) - n)[some]
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * ones > n[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    return signatures(np.array(hashes, "<u8"), np.array(counts, np.int64))
 
 
 def _fingerprint_batches(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:

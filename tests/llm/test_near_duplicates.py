@@ -1,6 +1,8 @@
 import random
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marketloom.llm import near_duplicates
@@ -93,3 +95,30 @@ def test_copies_with_words_of_their_own_are_not_compared_in_pairs(spark, monkeyp
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     assert sorted(r.doc_id for r in near_duplicates.distinct(df).collect()) == [i for i in range(len(texts)) if label[i] == i]
     assert len(seen) == 2 and seen[1] == 0 and sum(seen) < 8 * len(texts)
+
+
+def within_two_bits(sets):
+    """Pairs whose fingerprints differ in two bits at most: a bit is 1 if set in over half the hashes."""
+    fps = []
+    for s in sets:
+        hashes = [xxhash.xxh64_intdigest(x) for x in s]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return {(i, j) for i in range(len(sets)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2}
+
+
+def test_fingerprints_find_close_copies_without_bands(spark):
+    texts = variants(90)
+    close = within_two_bits([shingle_set(t) for t in texts])
+    pairs = close & set(brute(texts)[1])
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    assert len(pairs) >= 10 and len(set(label)) < len(texts) - 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    marked = near_duplicates.told_apart(near_duplicates.marks(df)).withColumn("keys", F.array().cast("array<bigint>"))
+    found = near_duplicates.labels(df, marked).join(marked, "node", "right")
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r.label if r.label is not None else r.node, set()).add(r.doc_id)
+    assert sorted(sorted(g) for g in groups.values()) == sorted(sorted(i for i in range(len(texts)) if label[i] == k) for k in set(label))
