@@ -107,3 +107,15 @@ def test_vectors_of_extreme_size(spark):
     for q in (0, 2, 4):
         assert len(got[q]) == 3 and {i for i, _ in got[q]} <= set(range(6)) - {q} and all(abs(x - 1) < 1e-12 for _, x in got[q])
     assert got[6][0][0] == 7 and abs(got[6][0][1] - 1) < 1e-12
+
+
+def test_every_step_of_a_walk_releases_the_one_before(spark, monkeypatch):
+    x = clustered(300, 8, 4)
+    nodes = frame(spark, x).select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec"))
+    graph = ann.build(ann.coded(nodes), degree=4)
+    done = []
+    keep = ann.materialize
+    monkeypatch.setattr(ann, "materialize", lambda df: (done.append("step"), keep(df))[1])
+    monkeypatch.setattr(ann, "_release", lambda df: done.append("release"))
+    assert ann.search(graph, nodes.filter("node < 3"), beam=16).count() == 3
+    assert len(done) > 3 and done == ["step"] + ["step", "release"] * (len(done) // 2)
