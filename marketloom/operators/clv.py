@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -57,26 +58,34 @@ def _spend_loglik(theta: np.ndarray, x: np.ndarray, m: np.ndarray) -> np.ndarray
 
 
 def _batched(data: DataFrame, columns: Sequence[str], loglik: Callable[..., np.ndarray]) -> Callable[[list[np.ndarray]], np.ndarray]:
-    """Total log likelihood of many parameter vectors in one pass over the data."""
+    """Total log likelihood of many parameter vectors in one pass over the data; a task sends one sum a vector."""
     def evaluate(thetas: list[np.ndarray]) -> np.ndarray:
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals = np.zeros(len(thetas))
-            for pdf in batches:
-                args = [pdf[c].to_numpy(float) for c in columns]
-                w = pdf["w"].to_numpy(float)
+            for batch in batches:
+                args = [batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
+                w = batch.column("w").cast(pa.float64()).to_numpy(zero_copy_only=False)
                 for i, theta in enumerate(thetas):
                     totals[i] += float(np.dot(w, loglik(np.exp(theta), *args)))
-            yield pd.DataFrame({"i": np.arange(len(thetas)), "ll": totals})
+            yield pa.record_batch([pa.array([totals.tolist()], pa.list_(pa.float64()))], ["ll"])
 
-        rows = data.mapInPandas(partial, "i int, ll double").groupBy("i").agg(F.sum("ll").alias("ll")).collect()
-        out = np.full(len(thetas), -np.inf)
-        for row in rows:
-            out[row["i"]] = row["ll"] if row["ll"] == row["ll"] else -np.inf
-        return out
+        sums = np.array([row["ll"] for row in data.mapInArrow(partial, "ll array<double>").collect()]).reshape(-1, len(thetas)).sum(axis=0)
+        return np.where(np.isnan(sums), -np.inf, sums)
 
     return evaluate
 
 
+#: Rows of sufficient statistics a task evaluates at least.
+_FIT_ROWS = 20_000
+
+
+def _statistics(data: DataFrame) -> DataFrame:
+    """``data`` cached in as few partitions as its rows ask for: each pass of a fit starts one task for each."""
+    cached = data.persist()
+    n = max(1, cached.count() // _FIT_ROWS)
+    return cached.coalesce(n) if n < cached.rdd.getNumPartitions() else cached
+
+
 def maximize(evaluate: Callable[[list[np.ndarray]], np.ndarray], start: Sequence[float], iterations: int = 25, tol: float = 1e-4) -> tuple[np.ndarray, bool]:
     """Damped Newton ascent on the logarithms of positive parameters; the point, and whether it is a maximum.
 
@@ -85,26 +94,29 @@ def maximize(evaluate: Callable[[list[np.ndarray]], np.ndarray], start: Sequence
     without end have none, and a line search may find nothing better elsewhere: the last point is
     returned then, marked as no maximum.
 
-    Each iteration asks for all finite-difference points at once, then for a set
-    of step lengths: two passes over the data whatever the number of parameters.
+    Each iteration asks at once for the step lengths and for the finite-difference points around the
+    full step, which is nearly always taken: one pass over the data, two where a shorter step wins.
     """
     theta = np.log(np.asarray(start, float))
     k, h = len(theta), 1e-3
-    converged = False
-    for _ in range(iterations):
-        points = [theta]
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+
+    def around(at: np.ndarray) -> list[np.ndarray]:
+        points = [at]
         for i in range(k):
             for s in (h, -h):
-                p = theta.copy()
+                p = at.copy()
                 p[i] += s
                 points.append(p)
-        pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
         for i, j in pairs:
-            p = theta.copy()
+            p = at.copy()
             p[i] += h
             p[j] += h
             points.append(p)
-        f = evaluate(points)
+        return points
+
+    converged, f = False, evaluate(around(theta))
+    for n_done in range(iterations):
         up, down = f[1:2 * k + 1:2], f[2:2 * k + 1:2]
         gradient = (up - down) / (2 * h)
         hessian = np.diag((up - 2 * f[0] + down) / h**2)
@@ -120,19 +132,23 @@ def maximize(evaluate: Callable[[list[np.ndarray]], np.ndarray], start: Sequence
         direction = vectors @ ((vectors.T @ gradient) / curvature)
         direction *= min(1.0, 2.0 / max(float(np.max(np.abs(direction))), 1e-12))
         lengths = (1.0, 0.5, 0.25, 0.1, 0.02, 0.004)
-        scores = evaluate([theta + s * direction for s in lengths])
+        found = evaluate([*(theta + s * direction for s in lengths[1:]), *around(theta + direction)])
+        shorter, ahead = found[:len(lengths) - 1], found[len(lengths) - 1:]
+        scores = np.r_[ahead[0], shorter]
         best = int(np.argmax(scores))
         if not scores[best] > f[0]:
             break
         theta = theta + lengths[best] * direction
+        if n_done + 1 < iterations:
+            f = evaluate(around(theta)) if best else ahead
     return np.exp(theta), converged
 
 
 def fit_purchase_model(summary: DataFrame) -> dict[str, float]:
     """Maximum likelihood of the BG/NBD purchase-count model; equal histories are counted once."""
-    data = summary.groupBy((F.col("frequency") - 1).alias("x"), F.col("recency").alias("tx"), F.col("T").alias("t")).agg(n_rows().alias("w")).persist()
+    data = summary.groupBy((F.col("frequency") - 1).alias("x"), F.col("recency").alias("tx"), F.col("T").alias("t")).agg(n_rows().alias("w"))
     try:
-        fitted, converged = maximize(_batched(data, ["x", "tx", "t"], _purchase_loglik), PURCHASE_START)
+        fitted, converged = maximize(_batched(_statistics(data), ["x", "tx", "t"], _purchase_loglik), PURCHASE_START)
     finally:
         data.unpersist()
     return dict(zip(("r", "alpha", "a", "b"), map(float, fitted))) | {"converged": float(converged)}
@@ -140,11 +156,11 @@ def fit_purchase_model(summary: DataFrame) -> dict[str, float]:
 
 def fit_spend_model(summary: DataFrame) -> dict[str, float]:
     """Maximum likelihood of the Gamma-Gamma spend model."""
-    data = summary.filter(F.col("monetary_value") > 0).select(F.col("frequency").alias("x"), F.col("monetary_value").alias("m"), F.lit(1).alias("w")).persist()
+    data = summary.filter(F.col("monetary_value") > 0).select(F.col("frequency").alias("x"), F.col("monetary_value").alias("m"), F.lit(1).alias("w"))
     try:
-        scale = float(data.agg(F.avg("m")).first()[0] or 1.0)
-        scaled = data.withColumn("m", F.col("m") / scale)
-        (p, q, g), converged = maximize(_batched(scaled, ["x", "m"], _spend_loglik), (SPEND_START[0], SPEND_START[1], 1.0))
+        cached = _statistics(data)
+        scale = float(cached.agg(F.avg("m")).first()[0] or 1.0)
+        (p, q, g), converged = maximize(_batched(cached, ["x", "m"], lambda theta, x, m: _spend_loglik(theta, x, m / scale)), (SPEND_START[0], SPEND_START[1], 1.0))
     finally:
         data.unpersist()
     return {"p": float(p), "q": float(q), "gamma": float(g * scale), "converged": float(converged)}

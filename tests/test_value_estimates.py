@@ -55,3 +55,35 @@ def test_a_fit_of_simulated_spend_is_a_maximum_near_the_truth(spark):
     assert 0 <= 2 * (f[0] - f[-1]) <= 16.27
     # per customer
     assert (abs(f[1:7:2] - f[2:7:2]) / 2e-3 <= 1e-4 * 6000).all()
+
+
+def test_a_fit_passes_once_over_the_data_for_each_full_step():
+    import numpy as np
+
+    from marketloom.operators.clv import maximize
+
+    passes = []
+
+    def rising(points):  # full steps are always the best, and there is no maximum
+        passes.append(len(points))
+        return np.array([-1000 * np.exp(-p[0]) - p[1] ** 2 for p in points])
+
+    maximize(rising, (1.0, 1.0), iterations=10)
+    assert len(passes) <= 11  # 20 with a pass of its own for the step lengths
+
+
+def test_a_pass_of_a_fit_starts_few_tasks_and_no_shuffle(spark):
+    import numpy as np
+
+    from marketloom.operators import clv
+
+    data = spark.range(1000).selectExpr("id % 7 + 1 AS x", "id % 13 + 1.5D AS m", "1 AS w").repartition(8)
+    cached = clv._statistics(data)
+    try:
+        assert cached.rdd.getNumPartitions() == 1
+        points = [np.log([2.0, 3.0, 1.0]), np.log([4.0, 3.5, 2.0])]
+        x, m = (np.array([r[c] for r in data.collect()], float) for c in "xm")
+        expected = [clv._spend_loglik(np.exp(p), x, m).sum() for p in points]
+        assert np.allclose(clv._batched(cached, ["x", "m"], clv._spend_loglik)(points), expected, rtol=1e-12)
+    finally:
+        data.unpersist()
