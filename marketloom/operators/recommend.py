@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.exprs import n_rows, or_zero
 from marketloom.functions.ml import fit_cached
 from marketloom.functions.ordered import running_totals
+from marketloom.functions.row_pairs import best_of, row_pairs
 from marketloom.functions.shared import materialize
 
 SCORE_DIGITS = 9  # scores are compared at this precision, so equal scores tie
@@ -40,20 +42,27 @@ def pairs_within(df: DataFrame, group: str, item: str, value: str | None = None,
     return left.join(right, [group, "_salt"]).filter(F.col("a") < F.col("b")).drop("_salt")
 
 
+def _cosine(a, b, shared, na, nb):
+    return [a, b, shared / (np.sqrt(na) * np.sqrt(nb))]
+
+
+def _jaccard(a, b, shared, na, nb):
+    return [a, b, shared / (na + nb - shared)]
+
+
 def item_similarity(matrix: DataFrame, method: str = "cosine", group: str = "customer_id", item: str = "product_id") -> DataFrame:
     """Similarity of all item pairs that share a customer, both directions."""
+    kind = dict(matrix.dtypes)[item]
+    schema = f"a {kind}, b {kind}, similarity double"
     if method == "cosine":
-        norms = matrix.groupBy(item).agg(F.sqrt(F.sum(F.col("qty") * F.col("qty"))).alias("norm"))
-        unit = matrix.join(norms, item).select(group, item, (F.col("qty") / F.col("norm")).alias("u"))
-        half = pairs_within(unit, group, item, "u").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("similarity"))
-    elif method == "jaccard":
-        sizes = matrix.groupBy(item).agg(n_rows().alias("n"))
-        shared = pairs_within(matrix.select(group, item), group, item).groupBy("a", "b").agg(n_rows().alias("s"))
-        half = shared.join(sizes.select(F.col(item).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(item).alias("b"), F.col("n").alias("nb")), "b").select(
-            "a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("similarity"))
-    else:
-        raise ValueError(f"unknown similarity {method}")
-    return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+        return row_pairs(matrix, item, group, "qty", "sum(v * v)", _cosine, "a bigint, b bigint, similarity double").selectExpr(*_as(schema))
+    if method == "jaccard":
+        return row_pairs(matrix, item, group, None, "count(1)", _jaccard, "a bigint, b bigint, similarity double").selectExpr(*_as(schema))
+    raise ValueError(f"unknown similarity {method}")
+
+
+def _as(schema: str) -> list[str]:
+    return [f"CAST({name} AS {kind}) AS {name}" for name, kind in (x.strip().split(" ") for x in schema.split(","))]
 
 
 def top_n(scores: DataFrame, n: int, user: str = "customer_id", item: str = "product_id") -> DataFrame:
@@ -81,7 +90,13 @@ def cosine_candidates(matrix: DataFrame, row: str, column: str, n: int, long: in
     norms = matrix.groupBy(row).agg(F.sqrt(F.sum(F.col("qty") * F.col("qty"))).alias("norm"))
     sizes = matrix.groupBy(column).agg(n_rows().alias("size"))
     if sizes.filter(F.col("size") > long).isEmpty():
-        return item_similarity(matrix, group=column, item=row).toDF("u", "v", "score")
+        def best(a, b, shared, na, nb):
+            a, b, score = _cosine(a, b, shared, na, nb)
+            keep = best_of(a, b, score, n, SCORE_DIGITS)
+            return [a[keep], b[keep], score[keep]]
+
+        kind = dict(matrix.dtypes)[row]
+        return row_pairs(matrix, row, column, "qty", "sum(v * v)", best, "u bigint, v bigint, score double").selectExpr(*_as(f"u {kind}, v {kind}, score double"))
     unit = materialize(matrix.join(norms, row).join(sizes, column).select(F.col(row).alias("u"), F.col(column).alias("p"), (F.col("qty") / F.col("norm")).alias("w"), "size"))
     half = pairs_within(unit.filter(F.col("size") <= long), "p", "u", "w").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("short"))
     short = half.union(half.select("b", "a", "short")).toDF("u", "v", "short")
