@@ -53,3 +53,55 @@ def test_blocks_grow_with_the_table():
     for n, blocks in ((100_000_000, few), (1_000_000_000, many)):
         assert n * (1 - (1 - 1 / blocks) ** 40) <= row_pairs.BLOCK_ENTRIES
     assert few < many
+
+
+def _groups(nodes, pairs):
+    label = {u: u for u in nodes}
+
+    def root(u):
+        while label[u] != u:
+            u = label[u]
+        return u
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        label[y] = x
+    return {u: root(u) for u in nodes}
+
+
+@pytest.mark.parametrize("tile", [7, 2048])
+def test_dense_links_have_the_groups_of_all_similar_pairs(spark, monkeypatch, tile):
+    # few columns with many nodes each: all pairs of one column were shuffled before
+    monkeypatch.setattr(graph, "_TILE", tile)
+    rng = np.random.default_rng(11)
+    held = {u: frozenset(rng.choice(24, int(rng.integers(2, 9)), replace=False).tolist()) for u in range(-20, 100)}
+    df = spark.createDataFrame([(u, f"k{p}") for u, h in held.items() for p in h], "customer_id long, kind string")
+    for threshold in (0.5, 0.6):
+        similar = [(a, b) for a, b in itertools.combinations(held, 2) if len(held[a] & held[b]) / len(held[a] | held[b]) > threshold]
+        expected = _groups(held, similar)
+        assert 1 < len(set(expected.values())) < len(held)
+        links = [(r.a, r.b) for r in graph._dense_links(df, "customer_id", "kind", threshold).collect()]
+        assert _groups(held, links) == expected
+        exact = {(r.a, r.b) for r in graph.similar_pairs(df, "customer_id", "kind", threshold).collect()}
+        assert exact == set(similar)
+
+
+def test_common_columns_choose_the_dense_way_and_short_ones_do_not(spark):
+    nodes = spark.range(3000)
+    common = nodes.selectExpr("id AS customer_id", "explode(transform(sequence(0, 4), i -> pmod(xxhash64(id, i), 6))) AS kind").distinct()
+    short = nodes.selectExpr("id AS customer_id", "explode(transform(sequence(0, 4), i -> pmod(xxhash64(id, i), 3000))) AS kind").distinct()
+    assert "a#" in _plan(graph.similar_links(common, "customer_id", "kind", 0.3)) and "jaccard" not in _plan(graph.similar_links(common, "customer_id", "kind", 0.3))
+    assert "jaccard" in _plan(graph.similar_links(short, "customer_id", "kind", 0.3))
+
+
+def test_co_purchases_leave_the_task_only_above_the_minimum(spark):
+    cells = _matrix()
+    df = spark.createDataFrame(list(cells), "product_id long, customer_id long")
+    by = {}
+    for p, c in cells:
+        by.setdefault(p, set()).add(c)
+    expected = {(a, b, len(by[a] & by[b])) for a, b in itertools.permutations(by, 2) if len(by[a] & by[b]) >= 3}
+    out = graph.co_purchases(df, 3)
+    assert {tuple(r) for r in out.collect()} == expected
+    plan = _plan(out)
+    assert plan.index("MapInArrow") < plan.index("Exchange")
