@@ -105,3 +105,20 @@ def test_co_purchases_leave_the_task_only_above_the_minimum(spark):
     assert {tuple(r) for r in out.collect()} == expected
     plan = _plan(out)
     assert plan.index("MapInArrow") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize("pairs", [40, 2_000_000])
+def test_co_buyers_against_brute_force(spark, monkeypatch, pairs):
+    monkeypatch.setattr(row_pairs, "BATCH_PAIRS", pairs)
+    cells = _matrix(40, 60, hot=False) | {(-3, 7): 1.0, (1 << 40, 1 << 41): 1.0}
+    by = {}
+    for u, p in cells:
+        by.setdefault(u, set()).add(p)
+    expected = set()
+    for u in by:
+        near = [v for v in by if v != u and by[u] & by[v]]
+        score = {p: sum(p in by[v] for v in near) for v in near for p in by[v] - by[u]}
+        expected |= {(u, p, float(score[p]), i + 1) for i, p in enumerate(sorted(score, key=lambda p: (-score[p], p))[:4])}
+    out = graph.co_buyer_recommendations(spark.createDataFrame(list(cells), "customer_id long, product_id long"), 4)
+    assert {(r.customer_id, r.product_id, r.score, r.rank) for r in out.collect()} == expected
+    assert "Join" not in _plan(out)  # customers x customers and their products were joined and shuffled before
