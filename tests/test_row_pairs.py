@@ -122,3 +122,17 @@ def test_co_buyers_against_brute_force(spark, monkeypatch, pairs):
     out = graph.co_buyer_recommendations(spark.createDataFrame(list(cells), "customer_id long, product_id long"), 4)
     assert {(r.customer_id, r.product_id, r.score, r.rank) for r in out.collect()} == expected
     assert "Join" not in _plan(out)  # customers x customers and their products were joined and shuffled before
+
+
+def test_communities_read_their_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = [(u, p) for u in range(30) for p in range(u % 3, u % 3 + 3)]
+    df = spark.createDataFrame(edges, "customer_id long, product_id long").mapInArrow(count, "customer_id long, product_id long")
+    assert graph.communities(df, "customer_id", "product_id", 0.4, 1).count() == 30
+    assert seen.value == len(edges)
