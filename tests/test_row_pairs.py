@@ -136,3 +136,17 @@ def test_communities_read_their_edges_once(spark):
     df = spark.createDataFrame(edges, "customer_id long, product_id long").mapInArrow(count, "customer_id long, product_id long")
     assert graph.communities(df, "customer_id", "product_id", 0.4, 1).count() == 30
     assert seen.value == len(edges)
+
+
+def test_the_best_are_chosen_without_sorting_all(monkeypatch):
+    rng = np.random.default_rng(2)
+    a = np.sort(rng.integers(0, 40, 20_000))
+    b = np.arange(len(a))
+    score = np.round(rng.random(len(a)), 3)  # many ties
+    expected = {int(i) for u in range(40) for i in sorted(np.flatnonzero(a == u), key=lambda i: (-score[i], b[i]))[:10]}
+    sorted_rows, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: (sorted_rows.append(len(keys[0])), lexsort(keys))[1])
+    assert set(row_pairs.best_of(a, b, score, 10, 9).tolist()) == expected
+    assert sum(sorted_rows) < len(a) / 4
+    few = row_pairs.best_of(np.array([1, 1, 2]), np.array([5, 6, 7]), np.array([0.1, 0.2, 0.3]), 10, 9)
+    assert sorted(few.tolist()) == [0, 1, 2]
